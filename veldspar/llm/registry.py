@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality, sharding
 
 QUERIES = {
+    "op2_sharding": sharding.query,
+    "op5_bpe": bpe.query,
     "op10_quality_rules": quality.query,
 }
 SQL = {
