@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding
+from . import bpe, quality, sharding, substrings, suffixes
 
 QUERIES = {
     "op2_sharding": sharding.query,
+    "op4_suffixes": suffixes.query,
     "op5_bpe": bpe.query,
+    "op7_substrings": substrings.query,
     "op10_quality_rules": quality.query,
 }
 SQL = {
