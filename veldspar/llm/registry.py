@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, substrings, suffixes
+from . import bpe, minhash, quality, sharding, substrings, suffixes
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op4_suffixes": suffixes.query,
     "op5_bpe": bpe.query,
+    "op6_minhash": minhash.query,
     "op7_substrings": substrings.query,
     "op10_quality_rules": quality.query,
 }
