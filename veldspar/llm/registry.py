@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, quality, sharding, substrings, suffixes
+from . import bpe, decontaminate, minhash, quality, sharding, substrings, suffixes
 
 QUERIES = {
     "op2_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.query,
     "op6_minhash": minhash.query,
     "op7_substrings": substrings.query,
+    "op8_decontaminate": decontaminate.query,
     "op10_quality_rules": quality.query,
 }
 SQL = {
