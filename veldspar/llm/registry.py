@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, sharding, substrings, suffixes
+from . import bpe, decontaminate, minhash, quality, sharding, substrings, suffix_tree, suffixes, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
     "op4_suffixes": suffixes.query,
     "op5_bpe": bpe.query,
     "op6_minhash": minhash.query,
     "op7_substrings": substrings.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_suffix_tree": suffix_tree.query,
     "op10_quality_rules": quality.query,
 }
 SQL = {
