@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, sharding, substrings, suffix_tree, suffixes, toxicity
+from . import bpe, decontaminate, minhash, pages, quality, sharding, substrings, suffix_tree, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
+    "op3_pages": pages.query,
     "op4_suffixes": suffixes.query,
     "op5_bpe": bpe.query,
     "op6_minhash": minhash.query,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_quality_rules": quality.query,
 }
 SQL = {
+    "op3_pages": pages.SQL,
     "op10_quality_rules": quality.SQL,
 }
