@@ -83,6 +83,18 @@ def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return a.select(*[F.col(f"`{c}`") for c in own], *new)
 
 
+def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``docs`` that the rules keep, with the lines that passed as text (and n_chars where there is such a column)."""
+    # A filter would be pushed through all the steps, copying their expressions into each other without end;
+    # one that needs a row number stays where it is.
+    found = measured(docs, rules).withColumn("__at", F.monotonically_increasing_id())
+    found = found.where(F.col("kept") & (F.col("__at") >= 0))
+    new = {"text": F.col("clean_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _split(line: Column) -> Column:
     return F.struct(line.alias("line"), F.filter(F.split(line, "[ \\t-\\r]+"), lambda w: w != "").alias("words"))
 
