@@ -7,20 +7,14 @@ and read back as the next stage's documents.  All but the last return the column
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veldspar.llm import bpe, decontaminate, minhash, quality, substrings
 from veldspar.llm.common import stored, table
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return docs.withColumns(new).select(columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that failed."""
-    return _with_text(quality.measured(docs).where("kept"), docs.columns, "clean_text")
+    return quality.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
