@@ -63,9 +63,9 @@ def rebalance(old: dict[int, int], weights: dict[int, int], shards: int, slack:
             load[shard] += weights.get(slot, 0)
     loose = [k for shard, ks in held.items() if shard >= shards for k in ks]
     for shard in range(shards):
-        for k in sorted(held.get(shard, ()), key=lambda k: (weights.get(k, 0), k)):
+        for k in sorted(held.get(shard, ()), key=lambda k: (-weights.get(k, 0), k)):
             w = weights.get(k, 0)
-            if load[shard] <= mean * (1 + slack) or not w:
+            if load[shard] <= mean * (1 + slack) or load[shard] - w < mean * (1 - slack) or not w:
                 continue
             loose.append(k)
             load[shard] -= w
