@@ -5,9 +5,10 @@ coordinate k of the signature: all coordinates come from one table row for each
 32 bands of 5; two sets with a Jaccard similarity of 0.8 miss each other in all bands with probability 3e-6.
 
 Texts with equal shingle sets form one class and go on as one row.  Inside a bucket no lists of pairs are
-made: members are held against the bucket's pivot, and each round verifies at most one pair for each class, on
-the full sets, and merges what is linked.  Pairs that this leaves open (both in one bucket, different groups,
-neither a pivot) are verified one by one at the end, so that no link is lost; there are no caps.
+made: members are held against the bucket's pivot, and each round verifies a few pairs for each class, on the
+full sets, and merges what is linked.  Pairs are open while both stand in one bucket but in different groups.
+Rounds go on until open pairs are about as many as bucket members (or a round links nothing); then all that are
+left are verified one by one, so that no link is lost.  There are no caps.
 
 Links are exact: 100 * intersection >= threshold * union of the distinct shingles (64-bit hashes within a pair).
 
@@ -31,6 +32,8 @@ from .substrings import word_units
 
 BANDS, ROWS = 32, 5
 PLACES = 1 << 20
+PIVOTS = 4  # pairs to verify for each class and round
+OPEN = 2  # open pairs for each bucket member at which rounds end
 U = np.uint64
 
 
@@ -108,18 +111,18 @@ def _verified(pairs: DataFrame, held: DataFrame, words: int, threshold: int) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of a small graph of edges (x, y): least node by repeated least labels and label jumps."""
-    both = stored(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))), "edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    """(node, label) of a graph of edges (x, y): each round takes the least label among neighbours and the own label's."""
+    x, y = edges.select("x", "y"), edges.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    own = x.union(y).select("x", F.col("x").alias("y"))
+    both = stored(x.union(y).union(own).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), "labels")
     while True:
         of = labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-        near = both.join(of, "y").groupBy(F.col("x").alias("node")).agg(F.min("ly").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "near", F.coalesce("next", "label")).alias("new"), "label")
-        new = stored(new, "labels")
-        moved = new.where("new <> label").limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not moved:
+        hops = both.union(labels.select("node", "label")).join(of, "y")
+        mine = F.max(F.when(F.col("x") == F.col("y"), F.col("ly")))
+        new = stored(hops.groupBy(F.col("x").alias("node")).agg(F.min("ly").alias("label"), mine.alias("old")), "labels")
+        labels = new.select("node", "label")
+        if not new.where("label <> old").limit(1).count():
             return labels
 
 
@@ -133,6 +136,7 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     slots = classes.select(F.explode("bands").alias("b"), "cid", "n")
     hot = slots.groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select("b")
     members = stored(slots.join(hot, "b"), "members")
+    enough = OPEN * members.count()
     nodes = members.select("cid").distinct()
     one = classes.join(nodes, "cid").select("cid", "one.*")
     held = stored(docs.join(one, same_row(docs, one)).select("cid", "text").dropDuplicates(["cid"]), "held")
@@ -143,14 +147,18 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     while True:
         now = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("label", "cid")).drop("label")
         now = stored(now, "members")
+        if seed and _open_count(now) <= enough:
+            break
         # Buckets that one group fills have nothing left to say.
         open_ = now.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min_by(F.struct("cid", "n", "g"), F.xxhash64("cid", F.lit(seed))).alias("p")).where("g0 <> g1").select("b", "p")
         pairs = now.join(open_, "b").where((F.col("g") != F.col("p.g")) & size_ok(F.col("n"), F.col("p.n")))
         pairs = pairs.select(F.least("cid", "p.cid").alias("x"), F.greatest("cid", "p.cid").alias("y"), "cid").groupBy("x", "y", "cid").agg(F.count("*").alias("c"))
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
-        best = pairs.groupBy("cid").agg(F.max(F.struct("c", "x", "y")).alias("m")).select("m.x", "m.y").distinct()
-        judged = stored(_verified(stored(best, "pairs"), held, words, threshold), "judged")
+        # At most one pivot for each band, so the list is short; pivots that wait stay open.
+        best = pairs.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "x", "y")), asc=False), 1, PIVOTS).alias("m"))
+        best = best.select(F.explode("m").alias("m")).select("m.x", "m.y").distinct()
+        judged = stored(_verified(best, held, words, threshold), "judged")
         new = judged.where("linked").select("x", "y")
         done = judged.select("x", "y") if done is None else done.union(judged.select("x", "y"))
         if not new.limit(1).count():
@@ -159,7 +167,7 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
         labels = components(links)
         seed += 1
     rest = _open_pairs(now, done, size_ok)
-    judged = stored(_verified(stored(rest, "pairs"), held, words, threshold), "judged")
+    judged = stored(_verified(rest, held, words, threshold), "judged")
     new = judged.where("linked").select("x", "y")
     if new.limit(1).count():
         links = new if links is None else links.union(new)
@@ -171,13 +179,24 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
+def _open_count(now: DataFrame) -> int:
+    """Pairs in one bucket but different groups, counted from the sizes alone."""
+    sizes = now.groupBy("b", "g").agg(F.count("*").alias("n")).groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    return int(sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0))).first()[0])
+
+
 def _open_pairs(now: DataFrame, done: DataFrame, size_ok) -> DataFrame:
-    """Pairs in one bucket but different groups that no round has judged."""
-    mixed = now.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
-    left = now.join(mixed, "b")
-    right = left.select("b", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"))
-    pairs = left.join(right, "b").where((F.col("cid") < F.col("y")) & (F.col("g") != F.col("gy")) & size_ok(F.col("n"), F.col("ny")))
-    return pairs.select(F.col("cid").alias("x"), "y").distinct().join(done, ["x", "y"], "left_anti")
+    """Pairs in one bucket but different groups that no round has judged.
+
+    Members of a bucket's largest group are met only by those outside it, so a bucket costs the product of the two.
+    """
+    sizes = now.groupBy("b", "g").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("b").agg(F.count("*").alias("groups"), F.max_by("g", "n").alias("main")).where("groups > 1").select("b", "main")
+    every = now.join(mixed, "b")
+    left = every.where(F.col("g") != F.col("main"))
+    right = every.select("b", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"), (F.col("g") == F.col("main")).alias("inside"))
+    pairs = left.join(right, "b").where((F.col("g") != F.col("gy")) & (F.col("inside") | (F.col("cid") < F.col("y"))) & size_ok(F.col("n"), F.col("ny")))
+    return pairs.select(F.least("cid", "y").alias("x"), F.greatest("cid", "y").alias("y")).distinct().join(done, ["x", "y"], "left_anti")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -195,3 +214,27 @@ def deduplicated(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFr
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT r, CASE WHEN len(ws) > 1 THEN ws[i] || ' ' || ws[i + 1] ELSE ws[1] END AS x
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), sized AS (
+  SELECT r, x, n FROM s JOIN n USING (r)
+), pair AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM sized a JOIN sized b ON a.x = b.x AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.r, b.r
+), link AS (
+  SELECT a, b FROM pair WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT b, a FROM pair WHERE 100 * c >= 80 * (na + nb - c)
+), reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), comp AS (
+  SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.b = d.r GROUP BY reach.a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) JOIN comp USING (r)
+"""

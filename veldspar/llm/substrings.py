@@ -125,3 +125,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(cut, repeats.same_row(every, cut), "left").select(
         every["doc_id"], "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1
+), cov AS (
+  SELECT DISTINCT r, i + o AS j FROM hit, (SELECT unnest(range(0, 35)) AS o)
+), word AS (
+  SELECT r, j, ws[j] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS j FROM d)
+), kept AS (
+  SELECT word.r, string_agg(w, ' ' ORDER BY word.j) AS t FROM word ANTI JOIN cov ON word.r = cov.r AND word.j = cov.j GROUP BY word.r
+), gone AS (
+  SELECT r, count(*) AS n FROM cov GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
