@@ -7,8 +7,8 @@ coordinate k of the signature: all coordinates come from one table row for each
 Texts with equal shingle sets form one class and go on as one row.  Inside a bucket no lists of pairs are
 made: members are held against the bucket's pivot, and each round verifies a few pairs for each class, on the
 full sets, and merges what is linked.  Pairs are open while both stand in one bucket but in different groups.
-Rounds go on until open pairs are about as many as bucket members (or a round links nothing); then all that are
-left are verified one by one, so that no link is lost.  There are no caps.
+Rounds go on until open pairs are about as many as bucket members, or a round no longer halves them, or links
+nothing; then all that are left are verified one by one, so that no link is lost.  There are no caps.
 
 Links are exact: 100 * intersection >= threshold * union of the distinct shingles (64-bit hashes within a pair).
 
@@ -110,8 +110,11 @@ def _verified(pairs: DataFrame, held: DataFrame, words: int, threshold: int) ->
     return pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x binary, y binary, linked boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of a graph of edges (x, y): each round takes the least label among neighbours and the own label's."""
+def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """(node, label) of a graph of edges (x, y): each step takes the least label among neighbours and the own label's.
+
+    With ``steps`` labels may not be final: nodes with one label are in one component, but not the other way round.
+    """
     x, y = edges.select("x", "y"), edges.select(F.col("y").alias("x"), F.col("x").alias("y"))
     own = x.union(y).select("x", F.col("x").alias("y"))
     both = stored(x.union(y).union(own).distinct(), "edges")
@@ -122,7 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
         mine = F.max(F.when(F.col("x") == F.col("y"), F.col("ly")))
         new = stored(hops.groupBy(F.col("x").alias("node")).agg(F.min("ly").alias("label"), mine.alias("old")), "labels")
         labels = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
+        steps = steps and steps - 1
+        if steps == 0 or not new.where("label <> old").limit(1).count():
             return labels
 
 
@@ -141,14 +145,17 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     one = classes.join(nodes, "cid").select("cid", "one.*")
     held = stored(docs.join(one, same_row(docs, one)).select("cid", "text").dropDuplicates(["cid"]), "held")
     labels = spark.createDataFrame([], "node binary, label binary")
-    links = done = None
+    links = done = before = None
     size_ok = lambda a, b: (100 * F.least(a, b) >= threshold * F.greatest(a, b))
     seed = 0
     while True:
         now = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("label", "cid")).drop("label")
         now = stored(now, "members")
-        if seed and _open_count(now) <= enough:
-            break
+        if seed:
+            left = _open_count(now)
+            if left <= enough or before is not None and left > before / 2:
+                break
+            before = left
         # Buckets that one group fills have nothing left to say.
         open_ = now.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min_by(F.struct("cid", "n", "g"), F.xxhash64("cid", F.lit(seed))).alias("p")).where("g0 <> g1").select("b", "p")
         pairs = now.join(open_, "b").where((F.col("g") != F.col("p.g")) & size_ok(F.col("n"), F.col("p.n")))
@@ -164,14 +171,14 @@ def grouped(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
         if not new.limit(1).count():
             break
         links = new if links is None else links.union(new)
-        labels = components(links)
+        # Labels short of final only leave more pairs open.
+        labels = components(links, steps=2)
         seed += 1
     rest = _open_pairs(now, done, size_ok)
     judged = stored(_verified(rest, held, words, threshold), "judged")
     new = judged.where("linked").select("x", "y")
-    if new.limit(1).count():
-        links = new if links is None else links.union(new)
-        labels = components(links)
+    links = new if links is None else links.union(new)
+    labels = components(links)
     of = classes.select("cid", "least").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     least = of.where("label is not null").groupBy("label").agg(F.min("least").alias("lowest"))
     of = of.join(least, "label", "left").select("cid", "label", F.coalesce("lowest", "least").alias("component_id"))
