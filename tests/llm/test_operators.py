@@ -273,6 +273,45 @@ def test_suffix_tree_sums_to_one():
     assert use2 != use and abs(sum(np.exp(root[w] + listed.get(w, rest)) for w in range(4)) - 1) < 1e-9
 
 
+def test_suffix_tree_follows_the_rule(spark, docs, monkeypatch):
+    """The tables against the rule on dictionaries, with and without sequences outside the broadcast part."""
+    import numpy as np
+
+    rows = [(i, " ".join(R.choice("abc") + R.choice("aab") for _ in range(R.randint(0, 60))) + " p q r s" * (i % 3)) for i in range(150)] + [(3, "p q r"), (3, "p q r"), (900, None)]
+    train = [(t or "").encode().split() + [b"\r"] for i, t in rows if i < 120]
+    uni, pair, triple = (Counter(tuple(t[j : j + n]) for t in train for j in range(len(t) - n + 1)) for n in (1, 2, 3))
+    rank = {w: i for i, (w,) in enumerate(uni)}
+    root = np.log((np.array([uni[w,] for w in rank]) + 1) / (sum(uni.values()) + len(uni) + 1))
+    states, use = [], {}
+    for grams, n in ((pair, uni), (triple, pair)):
+        by: dict = {}
+        for g, c in grams.items():
+            if c >= 2:
+                by.setdefault(g[:-1], {})[rank[g[-1]]] = c
+        use |= dict(zip(by, suffix_tree._grow(list(by.values()), [n[x] for x in by], [use.get(x[1:], -1) for x in by], root, states)))
+    want = []
+    for i, t in rows:
+        ws, s = (t or "").encode().split() + [b"\r"], 0
+        for j, w in enumerate(ws):
+            at = use.get(tuple(ws[j - 2 : j])) if j > 1 else None
+            at = use.get((ws[j - 1],), -1) if at is None and j else -1 if at is None else at
+            listed, rest = states[at] if at >= 0 else ({}, 0.0)
+            s += root[rank[w]] + listed.get(rank[w], rest)
+        want.append((i, round(s / math.log(10), 6) + 0.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for head, hot in ((65_536, 1 << 19), (4, 16), (65_536, 0)):
+        monkeypatch.setattr(suffix_tree, "HEAD", head), monkeypatch.setattr(suffix_tree, "HOT", hot)
+        out = suffix_tree.scored(df, F.col("doc_id") < 120).select("doc_id", F.round("score", 6))
+        assert [(i, round(x, 4)) for i, x in got(out)] == [(i, round(x, 4)) for i, x in expected(want)]
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context that is rare in a large corpus still counts."""
+    rows = [(i, "one rare and odd phrase") for i in range(4)] + [(9, "x y z w " * 150_000)]
+    r = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 0).where("doc_id = 0").first()
+    assert r.score > r.base_score + 3
+
+
 def test_toxicity(spark, docs):
     rows = [(i, prose(40) + (" you idiot! " if i % 4 == 0 else " well. ") + prose(20)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

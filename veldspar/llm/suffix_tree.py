@@ -1,15 +1,17 @@
 r"""LM scoring with a probabilistic suffix tree over words.
 
-Contexts are the last one or two words, of variable length: a context is a candidate if its share of the
-training tokens is at least ``P_MIN``.  Its next-word distribution lists the successors whose frequency after it
-diverges from what its longest kept suffix says (``STEP`` nats over their occurrences, each left out once), with
-absolute discounting; all other words share what is left in proportion to the suffix's distribution.  A context
-is kept if the whole distribution gains ``GAIN`` nats.  The root is the add-one unigram distribution.  Every
+Contexts are the last one or two words, of variable length: whatever the corpus holds ``LEAST`` times is a candidate,
+as context and as successor, so the tree grows with the corpus.  A context's next-word distribution lists the successors
+whose frequency after it diverges from what its longest kept suffix says (``STEP`` nats over their occurrences, each left
+out once), with absolute discounting; all other words share what is left in proportion to the suffix's distribution.  A
+context is kept if the whole distribution gains ``GAIN`` nats.  The root is the add-one unigram distribution.  Every
 token is scored by the longest kept suffix of what stands before it in its text.
 
-Counts cover every training row.  ``P_MIN`` bounds contexts and listed successors (1 / P_MIN of each length, however
-large the corpus), so the tree can be broadcast.  The root needs the count of every word, and those grow with the
-corpus: the ``HEAD`` most frequent words are broadcast, all others are joined.
+The tree is a table.  A token's log ratio to the root is a sum of what its last one, two and three words add, as a listed
+successor or as a context, so a row of the tree is a word sequence and its weight, and a text's score is a join.  What is
+broadcast has a fixed size and decides nothing: the ``HEAD`` most frequent words and up to ``HOT`` most frequent sequences,
+which would be hot keys of joins, and a bit map that says of most sequences that they are in no table (a full one says
+less and costs time only).  Words outside the head, and sequences, are told apart by 64-bit names.
 
 Defined results for odd input: a null or empty text is the end token alone; a null doc_id counts as the text
 'null' for the split and is kept as it is; repeated rows are counted and scored one by one; columns besides
@@ -18,21 +20,22 @@ doc_id and text are not read; with no training rows N and V are 0 and every toke
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
+from .repeats import mix
 
-DEPTH = 2
-P_MIN = 1e-5
+LEAST = 2  # one occurrence, left out, says nothing
 GAIN = 8.0
 STEP = 4.0
 DISCOUNT = 0.75
 HEAD = 65_536
+HOT = 1 << 19
+SEGMENT = 1 << 19  # bits in each of the 256 parts of a bit map
 END_WORD = b"\r"  # no word holds white space
 
 
@@ -66,96 +69,148 @@ def _counted(held: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()), "c": pa.array(held.values(), pa.int64())})
 
 
-def _ids(lists: list[list[bytes]], head: dict[bytes, int]) -> np.ndarray:
-    """Head words by rank, other words -1; two -1 before each text, so that no context crosses texts."""
+class _Ids(dict):
+    """Head words by rank from 1; other words by a negative name."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
+        if len(self) < 400_000:
+            self[word] = name
+        return name
+
+
+def _coded(lists: list[list[bytes]], ids: _Ids) -> np.ndarray:
+    """Word ids; two zeros before each text, so that no sequence crosses texts."""
     out: list[int] = []
     for ws in lists:
-        out += (-1, -1)
-        out += map(head.get, ws, repeat(-1))
+        out += (0, 0)
+        out += map(ids.__getitem__, ws)
     return np.array(out, np.int64)
 
 
-def _states(ids: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-    """Longest listed context before each token: its index over all lengths, -1 for the root.
+def _name(*words: np.ndarray) -> np.ndarray:
+    """64-bit names of sequences of two or three words."""
+    with np.errstate(over="ignore"):
+        h = words[0].astype(np.uint64)
+        for w in words[1:]:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) + np.uint64(len(words)))
+    return h
 
-    ``contexts[d]`` are the sorted codes of contexts of d + 1 words; a code is that of the words before the last
-    one in ``contexts[d - 1]`` (by place) times HEAD plus the last word.
-    """
-    state = np.full(len(ids), -1, np.int64)
-    before, base = None, 0
-    for d, codes in enumerate(contexts):
-        last = np.append(-1, ids[:-1])
-        code = last if not d else np.where((before >= 0) & (last >= 0), before * HEAD + last, -1)
-        at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-        found = np.where((code >= 0) & (codes[at] == code), at, -1) if len(codes) else np.full(len(ids), -1, np.int64)
-        state = np.where(found >= 0, base + found, state)
-        before, base = np.append(-1, found[:-1]), base + len(codes)
-    return state
 
+def _sequences(a: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places of the last words of all sequences of n words, and the words."""
+    ok = np.ones(max(0, len(a) - n + 1), bool)
+    for k in range(n):
+        ok &= a[k : k + len(ok)] != 0
+    first = np.flatnonzero(ok)
+    return first + n - 1, [a[first + k] for k in range(n)]
 
-def _following(docs: DataFrame, sent) -> DataFrame:
-    """(context, next, c) for the longest candidate contexts, by place, and head words after them."""
+
+def counted(docs: DataFrame, head, n: int, pairs=None) -> DataFrame:
+    """(u, v, w, c), or without w, of all sequences of n words seen ``LEAST`` times."""
+    names = ["u", "v", "w"][:n]
 
     def run(batches):
-        head, contexts = sent.value
+        ids = _Ids(head.value)
         held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                ids = _ids([t.lower().split() + [END_WORD] for t in texts(part)], head)
-                state = _exact(ids, contexts)
-                ok = (state >= 0) & (ids >= 0)
-                held.append(state[ok] * HEAD + ids[ok])
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield _pairs(held)
+                words = _sequences(_coded([t.lower().split() + [END_WORD] for t in texts(part)], ids), n)[1]
+                if pairs is not None:  # a sequence is no more frequent than its parts
+                    ok = _marked(pairs.value, _name(*words[:2])) & _marked(pairs.value, _name(*words[1:]))
+                    words = [w[ok] for w in words]
+                held.append(words)
+                size += len(words[0])
+                if size > 2_000_000:
+                    yield _totals(names, held)
                     held, size = [], 0
-        yield _pairs(held)
+        if held:
+            yield _totals(names, held)
 
-    return docs.select("text").mapInArrow(run, "context long, next long, c long").groupBy("context", "next").agg(F.sum("c").alias("c"))
+    found = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", c long")
+    return found.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
 
 
-def _exact(ids: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-    """Place in the longest list of the context of that length before each token, or -1."""
-    low = sum(len(c) for c in contexts[:-1])
-    state = _states(ids, contexts) - low
-    return np.where(state >= 0, state, -1)
+def _totals(names: list[str], held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    words = [np.concatenate(w) for w in zip(*held, strict=True)]
+    _, at, c = np.unique(_name(*words), return_index=True, return_counts=True)
+    return pa.RecordBatch.from_pydict({x: pa.array(w[at]) for x, w in zip(names, words, strict=True)} | {"c": pa.array(c.astype(np.int64))})
 
 
-def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-    return pa.RecordBatch.from_pydict({"context": pa.array(key // HEAD), "next": pa.array(key % HEAD), "c": pa.array(n.astype(np.int64))})
+# -- what is broadcast ------------------------------------------------------------------------------------
 
 
-# -- the tree ----------------------------------------------------------------------------------------------
+def _places(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(SEGMENT - 1)
+    return (name & low).astype(np.int64), (name >> np.uint64(20) & low).astype(np.int64)
+
+
+def _marked(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether the bit map holds a name; some that it doesn't hold pass."""
+    base, out = (name >> np.uint64(56)).astype(np.int64) * SEGMENT, np.ones(len(name), bool)
+    for at in _places(name):
+        at = base + at
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-class Tree:
-    """Kept contexts; what each adds to a token's log10 probability at the root."""
+def _bit_map(names: DataFrame):
+    """Broadcast bit map of a table's names; its parts are made on the executors."""
 
-    def __init__(self):
-        self.contexts: list[np.ndarray] = []  # candidates, by length
-        self.use: list[np.ndarray] = []  # the kept state that stands for each candidate (itself or a suffix), -1: root
-        self.rest: list[float] = []  # by state: for words that it doesn't list
-        self.keys = np.zeros(0, np.int64)  # state * HEAD + word
-        self.adds = np.zeros(0)
+    def run(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(SEGMENT, np.uint8)
+        for at in _places(rows.column("name").to_numpy().view(np.uint64)):
+            bits[at] = 1
+        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    parts = names.select(F.shiftrightunsigned("name", 56).cast("int").alias("part"), "name").groupBy("part").applyInArrow(run, "part int, bits binary").collect()
+    out = np.zeros((256, SEGMENT // 8), np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return names.sparkSession.sparkContext.broadcast(out.reshape(-1))
+
+
+def _named(rows: DataFrame, words: list[str], *more: str) -> DataFrame:
+    """``more`` columns with the names of the sequences."""
+
+    def run(batches):
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c))
+            yield pa.RecordBatch.from_pydict({"name": pa.array(_name(*(col(w).to_numpy() for w in words)).view(np.int64))} | {c: col(c) for c in more})
+
+    return rows.select(*words, *more).mapInArrow(run, "name long" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more))
+
+
+def _frequent(table: DataFrame, most: int) -> Column:
+    """Condition that at most ``most`` rows of a table with counts c meet: the most frequent ones."""
+    level, held, least = F.floor(8 * F.log2("c")).cast("int"), 0, None
+    for r in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
+        held += r[1]
+        if held > most:
+            break
+        least = r[0]
+    return level >= least if least is not None else F.lit(False)
 
-    def adjust(self, ids: np.ndarray) -> np.ndarray:
-        """Sum of a token's log10 ratio to the root, for each token."""
-        out = np.zeros(len(ids))
-        if not self.rest:
-            return out
-        state = _states(ids, self.contexts)
-        state = np.where(state >= 0, np.concatenate(self.use)[state], -1)
-        inside = np.flatnonzero(state >= 0)
-        key = state[inside] * HEAD + ids[inside]
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        listed = (ids[inside] >= 0) & (self.keys[at] == key) if len(self.keys) else np.zeros(len(inside), bool)
-        out[inside] = np.where(listed, self.adds[at] if len(self.keys) else 0.0, np.array(self.rest)[state[inside]])
-        return out
+
+def _looked_up(rows: DataFrame, keys: list[str], table: DataFrame, hot: Column) -> DataFrame:
+    """Left join with a table on its first columns; its hot rows are broadcast and keep their keys out of the shuffle."""
+    own = table.columns[: len(keys)]
+    more = table.columns[len(keys) :]
+    top, rest = (table.where(c).select(*(F.col(x).alias(f"{m}{x}") for x in table.columns), F.lit(True).alias(f"{m}hit")) for m, c in (("__t", hot), ("__r", ~hot)))
+    rows = rows.join(F.broadcast(top), [F.col(k) == F.col(f"__t{o}") for k, o in zip(keys, own, strict=True)], "left")
+    # Rows that are done are dealt out evenly, under a key that nothing has.
+    rows = rows.withColumn("__deal", F.when(F.col("__thit"), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    rest = rest.withColumn("__rdeal", F.lit(0).cast("long"))
+    rows = rows.join(rest.hint("shuffle_merge"), [F.col(k) == F.col(f"__r{o}") for k, o in zip(keys, own, strict=True)] + [F.col("__deal") == F.col("__rdeal")], "left")
+    out = rows.withColumns({m: F.coalesce(f"__t{m}", f"__r{m}") for m in more})
+    return out.drop(*(f"{m}{x}" for m in ("__t", "__r") for x in [*table.columns, "hit"]), "__deal", "__rdeal")
+
+
+# -- the tree ----------------------------------------------------------------------------------------------
 
 
 def _grow(successors: list[dict[int, int]], totals: list[int], parents: list[int], root: np.ndarray, states: list[tuple[dict[int, float], float]]) -> list[int]:
-    """Test candidates of one length; kept ones join ``states`` as (log ratios to the root, log of the rest's)."""
+    """The rule on plain dictionaries (tests hold ``learned`` against it): test candidates of one length; kept ones join ``states`` as (log ratios to the root, log of the rest's)."""
 
     def log_p(state: int, word: int) -> float:
         listed, rest = states[state] if state >= 0 else ({}, 0.0)
@@ -185,39 +240,48 @@ def _grow(successors: list[dict[int, int]], totals: list[int], parents: list[int
     return out
 
 
-def learned(docs: DataFrame, head: list[tuple[bytes, int]], total: int, distinct: int, p_min: float = P_MIN) -> Tree:
-    """The tree of all training rows, one pass over them for each context length."""
-    spark = docs.sparkSession
-    tree, states = Tree(), []
-    least = max(2.0, p_min * total)
-    rank = {w: i for i, (w, _) in enumerate(head)}
-    count = np.array([c for _, c in head], float)
-    root = np.log((count + 1) / max(1, total + distinct + 1))
-    codes = np.flatnonzero(count >= least)
-    totals, parents = count[codes].astype(int).tolist(), [-1] * len(codes)
-    if END_WORD in rank:  # nothing follows it
-        keep = codes != rank[END_WORD]
-        codes, totals, parents = codes[keep], [t for t, k in zip(totals, keep, strict=True) if k], parents[: int(keep.sum())]
-    for depth in range(1, DEPTH + 1):
-        if not len(codes):
-            break
-        tree.contexts.append(codes)
-        sent = spark.sparkContext.broadcast((rank, tree.contexts))
-        # At least p_min of all tokens each: what is collected is bounded by 1 / p_min rows.
-        rows = _following(docs, sent).where(F.col("c") >= least).collect()
-        successors: list[dict[int, int]] = [{} for _ in codes]
-        for context, word, c in rows:
-            successors[context][word] = c
-        tree.use.append(np.array(_grow(successors, totals, parents, root, states), np.int64))
-        longer = sorted((i * HEAD + w, c) for i, found in enumerate(successors) for w, c in found.items() if w != rank.get(END_WORD))
-        # The suffix of a context of two words is its last word.
-        first = {int(c): int(u) for c, u in zip(tree.contexts[0], tree.use[0], strict=True)}
-        codes, totals = np.array([k for k, _ in longer], np.int64), [c for _, c in longer]
-        parents = [first.get(k % HEAD, -1) for k, _ in longer]
-    tree.rest = [r / np.log(10) for _, r in states]
-    keys = sorted((i * HEAD + w, x / np.log(10)) for i, (listed, _) in enumerate(states) for w, x in listed.items())
-    tree.keys, tree.adds = np.array([k for k, _ in keys], np.int64), np.array([x for _, x in keys])
-    return tree
+def _tested(rows: DataFrame) -> DataFrame:
+    """Rows that their context lists, by count c of n and by log probability ``below`` that the suffix gives."""
+    rows = rows.withColumn("step", F.col("c") * (F.log(F.greatest(F.col("c") - 1 - DISCOUNT, F.lit(1e-9)) / F.col("n")) - F.col("below")))
+    return rows.where(F.col("step") >= STEP)
+
+
+def _kept(listed: DataFrame, context: list[str]) -> DataFrame:
+    """(context, rest, most) of the contexts that gain enough; ``rest`` is what words that they don't list get."""
+    sums = listed.groupBy(*context).agg(F.max("n").alias("n"), F.sum("c").alias("c"), F.sum("step").alias("gain"), F.sum((F.col("c") - DISCOUNT) / F.col("n")).alias("mass"), F.sum(F.exp("below")).alias("taken"))
+    sums = sums.withColumn("rest", F.log(F.greatest(1 - F.col("mass"), F.lit(1e-9)) / F.greatest(1 - F.col("taken"), F.lit(1e-9))))
+    return sums.where(F.col("gain") + (F.col("n") - F.col("c")) * F.col("rest") >= GAIN).select(*context, "rest")
+
+
+def learned(docs: DataFrame, head, words: DataFrame, total: int, distinct: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rest) of words and (name, weight, c) of longer sequences, natural logs: the tree of all training rows.
+
+    ``words`` has (id, c).
+    """
+    given = F.log((F.col("c") - DISCOUNT) / F.col("n")) - F.col("below")  # a listed word's ratio to the suffix
+    in_head = F.col("id") > 0
+    pairs = stored(counted(docs, head, 2), "pairs")
+    own = _looked_up(pairs, ["u"], words.select("id", F.col("c").alias("n")), in_head)
+    own = _looked_up(own, ["v"], words.select("id", F.log((F.col("c") + 1) / max(1, total + distinct + 1)).alias("below")), in_head)
+    own = stored(own.select("u", "v", "c", "n", "below"), "pair-rows")
+    first = stored(_kept(_tested(own), ["u"]).withColumnRenamed("u", "id"), "words-kept")
+    step = F.col("c") * (F.log(F.greatest(F.col("c") - 1 - DISCOUNT, F.lit(1e-9)) / F.col("n")) - F.col("below"))
+    own = _looked_up(own, ["u"], first, in_head)
+    own = own.withColumn("ratio", F.when(F.col("rest").isNull(), 0.0).when(step >= STEP, given).otherwise(F.col("rest")))
+    own = stored(own.select("u", "v", "c", (F.col("below") + F.col("ratio")).alias("log_p"), (F.col("ratio") - F.coalesce("rest", F.lit(0.0))).alias("own")), "pair-weights")
+    hot = F.col("c") >= own.where(_frequent(own, HOT // 8)).agg(F.coalesce(F.min("c"), F.lit(1 << 62))).first()[0]
+    bits = _bit_map(_named(own, ["u", "v"]))
+    longer = stored(counted(docs, head, 3, bits), "triples")
+    told = own.withColumns({"n": F.col("c"), "below": F.col("log_p")})
+    longer = _looked_up(longer.withColumnRenamed("c", "k"), ["u", "v"], told.select("u", "v", "c", "n"), hot).drop("c")
+    longer = _looked_up(longer, ["v", "w"], told.select("u", "v", "c", "below"), hot).drop("c").withColumnRenamed("k", "c")
+    listed = stored(_tested(longer), "triples-listed")
+    second = stored(_kept(listed, ["u", "v"]).join(own.select("u", "v", "c"), ["u", "v"]).select("u", "v", "c", "rest"), "pairs-kept")
+    third = _looked_up(listed.withColumnRenamed("c", "k"), ["u", "v"], second, hot).drop("c").withColumnRenamed("k", "c").where(F.col("rest").isNotNull())
+    two = own.join(second.drop("c"), ["u", "v"], "left").withColumn("weight", F.col("own") + F.coalesce("rest", F.lit(0.0)))
+    three = third.withColumn("weight", given - F.col("rest"))
+    named = _named(two.where("weight <> 0"), ["u", "v"], "weight", "c").union(_named(three, ["u", "v", "w"], "weight", "c"))
+    return first, stored(named, "tree")
 
 
 # -- scoring -----------------------------------------------------------------------------------------------
@@ -230,19 +294,44 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     words = stored(word_counts(docs.where("train")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = [(bytes(r.word), r.c) for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    tree = learned(docs.where("train"), head, total, distinct)
-    sent = spark.sparkContext.broadcast((tree, {w: i for i, (w, _) in enumerate(head)}, np.log10(np.array([c for _, c in head] + [0.0]) + 1)))
+    ranks = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(head, 1)})
+
+    def name_words(batches):
+        for batch in batches:
+            ids = _Ids(ranks.value)
+            word, c = (batch.column(batch.schema.get_field_index(x)) for x in ("word", "c"))
+            yield pa.RecordBatch.from_pydict({"word": word, "id": pa.array([ids[w] for w in word.to_pylist()], pa.int64()), "c": c})
+
+    words = stored(words.select("word", "c").mapInArrow(name_words, "word binary, id long, c long"), "word-ids")
+    first, tree = learned(docs.where("train"), ranks, words.select("id", "c"), total, distinct)
+    words = words.where("id < 0").join(first.where("id < 0"), "id", "left").select("word", "c", "rest")
+    rests = np.zeros(len(head) + 1)
+    for r in first.where("id > 0").collect():
+        rests[r.id] = r.rest / np.log(10)
+    hot = _frequent(tree, HOT)
+    top = tree.where(hot).select("name", "weight").toArrow()
+    names = top.column("name").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    sent = spark.sparkContext.broadcast((rests, names[order], top.column("weight").to_numpy()[order] / np.log(10), np.log10(np.array([0.0] + [c for _, c in head]) + 1)))
+    bits = _bit_map(tree.where(~hot))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tree, rank, logs = sent.value
+        rests, names, weights, logs = sent.value
+        known = _Ids(ranks.value)
         serial = 0
         for batch in batches:
             for part in slices(batch):
                 lists = [t.lower().split() + [END_WORD] for t in texts(part)]
-                ids = _ids(lists, rank)
-                adds, base = np.cumsum(tree.adjust(ids)), np.cumsum(logs[ids])  # rank -1: the zero at the end
-                rows, word, n, heads, found, score, tokens = [], [], [], [], [], [], []
+                ids = _coded(lists, known)
+                rank = np.maximum(ids, 0)  # 0: what is not in the head
+                own = rests[rank]
+                for n in (2, 3):
+                    last, seq = _sequences(ids, n)
+                    at, ok = _found(names, _name(*seq))
+                    own[last[ok]] += weights[at[ok]]
+                adds, base = np.cumsum(own), np.cumsum(logs[rank])
+                rows, word, many, heads, found, score, tokens = [], [], [], [], [], [], []
                 end = -1
                 for i, ws in enumerate(lists):
                     begin, end = end + 2, end + 2 + len(ws)
@@ -253,19 +342,36 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
                     serial += 1
                     rows += [i] * (1 + len(rest))
                     word += [b"\n%d %d" % (serial, i), *rest]
-                    n += [0, *rest.values()]
+                    many += [0, *rest.values()]
                     zeros = [0] * len(rest)
                     heads += [base[end] - base[begin], *zeros]
                     found += [len(ws) - sum(rest.values()), *zeros]
                     score += [adds[end] - adds[begin], *zeros]
                     tokens += [len(ws), *zeros]
                 at = pa.array(rows, pa.int64())
-                own = {c: part.column(part.schema.get_field_index(c)).take(at) for c in ("doc_id", "rk", "train")}
-                yield pa.RecordBatch.from_pydict(own | {
-                    "word": pa.array(word, pa.binary()), "n": pa.array(n, pa.int64()), "heads": pa.array(heads, pa.float64()), "found": pa.array(found, pa.int64()),
+                same = {c: part.column(part.schema.get_field_index(c)).take(at) for c in ("doc_id", "rk", "train")}
+                yield pa.RecordBatch.from_pydict(same | {
+                    "word": pa.array(word, pa.binary()), "n": pa.array(many, pa.int64()), "heads": pa.array(heads, pa.float64()), "found": pa.array(found, pa.int64()),
                     "score": pa.array(score, pa.float64()), "tokens": pa.array(tokens, pa.int64()),
                 })
 
+    def cold(batches):
+        """Sequences that may be among the other rows of the tree, once for each time that they occur."""
+        names, known = sent.value[1], _Ids(ranks.value)
+        for batch in batches:
+            for part in slices(batch):
+                lists = [t.lower().split() + [END_WORD] for t in texts(part)]
+                ids = _coded(lists, known)
+                row = np.repeat(part.column(part.schema.get_field_index("rk")).to_numpy(), [len(ws) + 2 for ws in lists])
+                for n in (2, 3):
+                    last, seq = _sequences(ids, n)
+                    name = _name(*seq)
+                    ok = _marked(bits.value, name)
+                    ok[ok] = ~_found(names, name[ok])[1]
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(name[ok].view(np.int64)), "rk": pa.array(row[last[ok]])})
+
+    more = docs.select("rk", "text").mapInArrow(cold, "name long, rk long").join(tree.where(~hot).select("name", "weight").hint("shuffle_merge"), "name")
+    more = more.groupBy("rk").agg((F.sum("weight") / np.log(10)).alias("more"))
     parts = docs.select("doc_id", "rk", "train", "text").mapInArrow(run, f"doc_id {id_type}, rk long, train boolean, word binary, n long, heads double, found long, score double, tokens long")
     parts = parts.join(words, "word", "left")
     # Rows that repeat an id and a text have equal parts: a mean over the copies is each copy's value.
@@ -274,13 +380,22 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
     tail = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     out = parts.groupBy("doc_id", "rk", "train").agg(
-        copies.alias("copies"), F.round(mean(F.col("tokens"))).cast("long").alias("n_tokens"), F.round(mean(F.col("found") + known)).cast("long").alias("n_known"), mean(F.col("heads") + tail).alias("base"), mean(F.col("score")).alias("score")
+        copies.alias("copies"), F.round(mean(F.col("tokens"))).cast("long").alias("n_tokens"), F.round(mean(F.col("found") + known)).cast("long").alias("n_known"), mean(F.col("heads") + tail).alias("base"), mean(F.col("score") + F.col("n") * F.coalesce("rest", F.lit(0.0)) / np.log(10)).alias("score")
     )
+    out = out.join(more, "rk", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)) / F.col("copies"))
     out = out.withColumn("base_score", F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1))))
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select("doc_id", "rk", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("score")).alias("score"))
 
 
+def _found(names: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted names, and which were found."""
+    if not len(names):
+        return np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+    at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+    return at, names[at] == name
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = scored(docs, ~held_out(docs["doc_id"]))
