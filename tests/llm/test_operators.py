@@ -354,5 +354,23 @@ def test_site_style_tree(spark):
     assert pages.extracted(df).count() == 11
 
 
+def texts_of(spark, htmls):
+    df = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in pages.extracted(df).collect()}
+
+
+def test_names_are_a_prior():
+    main = "long main text " * 30
+    assert pages.extract(f"<body><div>{main}</div><article class='teaser'>Read this</article>").startswith("long main")
+    assert pages.extract(f"<body><div class='content has-sidebar'><article><p>{main}</article><div class=sidebar>x</div></div>") == main.strip()
+    assert pages.extract("<article><p>One</p><p class='more'>Two</p></article>") == "One\nTwo"
+    assert pages.extract("<nav>only a menu</nav>") == ""
+
+
+def test_site_style_tree_judges_articles(spark):
+    out = texts_of(spark, [f"<body><article><p>{prose(30)}</p><div class='x1'>Buy this now</div></article><div class='y'>{prose(9)}</div></body>" for _ in range(8)])
+    assert all("Buy this" not in t and t.count("\n") == 1 for t in out.values())
+
+
 def test_keyed_tells_rows_apart(docs):
     assert keyed(docs).select("rk").distinct().count() == len(set(TEXTS) | {(0, "")}) - 1

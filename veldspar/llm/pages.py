@@ -3,10 +3,13 @@ r"""Main text of web pages with a site style tree.
 Pages of one host are merged by style path (block elements with their ids and classes, from the body down).  A
 style node's presentation importance is the entropy of its pages' child sequences, its content importance the
 entropy of their texts, both with the number of pages as base: 1 if every page differs, 0 if all agree.  Nodes
-that enough pages share and whose importance is low are furniture of the site; their branches go.  Branches that
-say by tag, role, class or id that they are a menu, header, footer, sidebar, notice, advert, form or comments go
-on any page, since most hosts have too few pages for entropies.  Where a page has an article (or main) element, only
-that is read, and nothing inside it is judged by entropy: passages that pages share are still the article's.
+that enough pages share and whose importance is low are furniture of the site; their branches go, inside articles
+too, unless they hold more than half of a page's text.
+
+Names are a prior: branches that say by tag, role, class or id that they are a menu, header, footer, sidebar, notice,
+advert, form or comments go, since menus that change from page to page have high entropies.  A class, an id or a
+form goes for nothing if its branch has more than ``MAIN`` times the text that would be left.  On hosts with too
+few pages for entropies, an article (or main) element with more than half of the text is all that is read.
 
 Counts are aggregated by (host, path, content) before and after the shuffle, so a host with a third of all pages is no
 list in one task.  The furniture of all hosts is broadcast if its size, which is checked, is small; else joined.
@@ -29,6 +32,7 @@ from .common import slices, stored, texts
 
 MIN_PAGES = 5
 LOW = 0.2
+MAIN = 10
 BROADCAST_CHARS = 8_000_000
 
 #: HTML's own vocabulary. Fixed values.
@@ -36,6 +40,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 RAW = frozenset("script style noscript template textarea iframe object svg math select head title canvas audio video button noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav header footer aside form dialog menu search fieldset".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -56,33 +61,34 @@ _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "inside")
+    __slots__ = ("tag", "path", "marks", "inside")
 
-    def __init__(self, tag: str, path: str, noise: bool, inside: bool):
-        self.tag, self.path, self.noise, self.inside = tag, path, noise, inside
+    def __init__(self, tag: str, path: str, marks: tuple[tuple[int, bool], ...], inside: bool):
+        #: ``marks``: (number, whether it may be wrong) of each element around it that names itself furniture.
+        self.tag, self.path, self.marks, self.inside = tag, path, marks, inside
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """Style key of an element, and whether it names itself furniture."""
+def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """Style key of an element, whether it names itself furniture, and whether only by a form, a class or an id."""
+    key, firm, soft = tag, tag in NOISE_TAGS and tag != "form", tag == "form"
     if not attrs or attrs == "/":
-        return tag, tag in NOISE_TAGS
-    key, noise = tag, tag in NOISE_TAGS
+        return key, firm or soft, not firm
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), unescape(value.strip("\"'"))
         if name == "role":
-            noise |= value.strip().lower() in NOISE_ROLES
+            firm |= value.strip().lower() in NOISE_ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            noise = True
+            firm = True
         elif name in ("class", "id"):
             key += ("." if name == "class" else "#") + ".".join(sorted(re.sub(r"\d+", "0", v) for v in value.split()))
-            if tag not in ("html", "body", "main", "article"):
-                noise |= any(w in NOISE_WORDS for v in value.split() for w in _PART.split(_SPLIT.sub(" ", v).lower()))
-    return key, noise
+            if tag not in ("html", "body", "main", "article") and not (inside and tag in TEXT_TAGS):
+                soft |= any(w in NOISE_WORDS for v in value.split() for w in _PART.split(_SPLIT.sub(" ", v).lower()))
+    return key, firm or soft, not firm
 
 
 def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
     """Text blocks in page order with the node each stands in, and the child styles of each path."""
-    root = _Node("", "", False, False)
+    root = _Node("", "", (), False)
     stack, out, children = [root], [], {}
     held: list[str] = []
 
@@ -131,8 +137,8 @@ def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
             flush()
             _close_before(stack, tag)
             up = stack[-1]
-            key, noise = _style(tag, attrs)
-            node = _Node(tag, f"{up.path}>{key}", up.noise or noise, up.inside or tag in ("article", "main"))
+            key, noise, soft = _style(tag, attrs, up.inside)
+            node = _Node(tag, f"{up.path}>{key}", up.marks + ((at, soft),) * noise, up.inside or tag in ("article", "main"))
             children.setdefault(up.path, []).append(key)
             if tag not in VOID:
                 stack.append(node)
@@ -157,22 +163,47 @@ def _close_before(stack: list[_Node], tag: str) -> None:
             break
 
 
-def extract(html: str, furniture: frozenset[str] = frozenset()) -> str:
-    """Main text of one page, given its host's low-importance style paths."""
-    found, _ = blocks(html)
-    inside = [(n, t) for n, t in found if n.inside and not n.noise]
-    if inside:
-        return "\n".join(t for _, t in inside)
-    keep = [t for n, t in found if not n.noise and not (furniture and _under(n.path, furniture))]
-    return "\n".join(keep)
-
-
-def _under(path: str, furniture: frozenset[str]) -> bool:
+def extract(html: str, furniture: frozenset[str] = frozenset(), judged: bool = False) -> str:
+    """Main text of one page, given its host's low-importance style paths, if the host has pages enough to be judged."""
+    found = unmarked(blocks(html)[0])
+    if furniture:
+        under = [_under(n.path, furniture) for n, _ in found]
+        size: dict[str, int] = {}
+        for (_, t), path in zip(found, under, strict=True):
+            size[path] = size.get(path, 0) + len(t)
+        half = sum(size.values()) / 2
+        found = [x for x, path in zip(found, under, strict=True) if not path or size[path] > half]
+    if not judged:
+        inside = [(n, t) for n, t in found if n.inside]
+        if 2 * sum(len(t) for _, t in inside) > sum(len(t) for _, t in found):
+            found = inside
+    return "\n".join(t for _, t in found)
+
+
+def unmarked(found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+    """Blocks outside elements that name themselves furniture; names that would take the main text go for nothing."""
+    wrong: set[int] = set()
+    while True:
+        left = [(n, t) for n, t in found if all(m in wrong for m, _ in n.marks)]
+        size: dict[int, int] = {}
+        for n, t in found:
+            outer = next(((m, soft) for m, soft in n.marks if m not in wrong), None)
+            if outer and outer[1] and all(soft for _, soft in n.marks):
+                size[outer[0]] = size.get(outer[0], 0) + len(t)
+        largest = max(size, key=size.__getitem__, default=None)
+        if largest is None or size[largest] <= MAIN * sum(len(t) for _, t in left):
+            return left
+        wrong.add(largest)
+
+
+def _under(path: str, furniture: frozenset[str]) -> str:
+    """The shortest path in ``furniture`` that the path lies under, or an empty one."""
+    out = ""
     while path:
         if path in furniture:
-            return True
+            out = path
         path = path.rpartition(">")[0]
-    return False
+    return out
 
 
 def _host() -> Column:
@@ -190,8 +221,8 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 for host, b in zip(hosts, texts(part, "html"), strict=True):
                     found, children = blocks(b.decode("utf-8", "replace"))
                     said: dict[str, list[str]] = {}
-                    for node, text in found:
-                        path = "" if node.inside else node.path
+                    for node, text in unmarked(found):
+                        path = node.path
                         while path:
                             said.setdefault(path, []).append(text)
                             path = path.rpartition(">")[0]
@@ -221,9 +252,10 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def furniture(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, paths): style paths of low importance that at least ``min_pages`` pages share."""
+    """(host, paths) of hosts with ``min_pages`` pages that share a path: those of low importance."""
     found = importance(stored(style_nodes(pages), "style-nodes"))
-    return found.where((F.col("m") >= min_pages) & (F.greatest("presentation", "content") <= low)).groupBy("host").agg(F.collect_list("path").alias("paths"))
+    found = found.where(F.col("m") >= min_pages)
+    return found.groupBy("host").agg(F.collect_list(F.when(F.greatest("presentation", "content") <= low, F.col("path"))).alias("paths"))
 
 
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
@@ -231,7 +263,7 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     low_paths = stored(furniture(pages, min_pages, low), "furniture")
-    size = low_paths.agg(F.coalesce(F.sum(F.expr("aggregate(paths, 0L, (n, p) -> n + length(p))")), F.lit(0))).first()[0]
+    size = low_paths.agg(F.coalesce(F.sum(F.expr("aggregate(paths, 0L + length(host), (n, p) -> n + length(p))")), F.lit(0))).first()[0]
     sent = spark.sparkContext.broadcast({r.host: frozenset(r.paths) for r in low_paths.collect()}) if size <= BROADCAST_CHARS else None
     if sent is None:
         pages = pages.join(low_paths, "host", "left")
@@ -244,10 +276,10 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
             for part in slices(batch, "html"):
                 cols = {n: part.column(part.schema.get_field_index(n)) for n in ("page_id", "url")}
                 if known is not None:
-                    paths = [known.get(h, frozenset()) for h in part.column(part.schema.get_field_index("host")).to_pylist()]
+                    paths = [known.get(h) for h in part.column(part.schema.get_field_index("host")).to_pylist()]
                 else:
-                    paths = [frozenset(p or ()) for p in part.column(part.schema.get_field_index("paths")).to_pylist()]
-                out = [extract(b.decode("utf-8", "replace"), p) for b, p in zip(texts(part, "html"), paths, strict=True)]
+                    paths = [None if p is None else frozenset(p) for p in part.column(part.schema.get_field_index("paths")).to_pylist()]
+                out = [extract(b.decode("utf-8", "replace"), p or frozenset(), p is not None) for b, p in zip(texts(part, "html"), paths, strict=True)]
                 yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
 
     kind = pages.schema["page_id"].dataType.simpleString()
