@@ -372,5 +372,12 @@ def test_site_style_tree_judges_articles(spark):
     assert all("Buy this" not in t and t.count("\n") == 1 for t in out.values())
 
 
+def test_copies_are_no_furniture(spark):
+    copy = f"<body><div class='t'><p>{prose(30)}</p></div><div class='u'>{prose(9)}</div></body>"
+    assert all(texts_of(spark, [copy + f"<!-- {i} -->" for i in range(8)]).values())
+    out = texts_of(spark, [copy] * 60 + [f"<body><div class='t'><p>{prose(30)}</p></div><div class='u'>{prose(9)}</div></body>" for _ in range(6)])
+    assert all(t.count("\n") == 1 for t in out.values())
+
+
 def test_keyed_tells_rows_apart(docs):
     assert keyed(docs).select("rk").distinct().count() == len(set(TEXTS) | {(0, "")}) - 1

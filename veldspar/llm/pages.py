@@ -211,28 +211,36 @@ def _host() -> Column:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path, shape, content, c): how many pages of a host have a path with this shape and content."""
+    """(host, path, shape, content, c): how many pages of a host that differ elsewhere have a path with this shape and content.
+
+    Pages count once if they agree in all text that doesn't name itself furniture, and only for branches that
+    leave some of it: copies of one page are no template.
+    """
 
     def run(batches):
         for batch in batches:
-            held: dict[tuple[str, str, int, int], int] = {}
+            held: dict[tuple[str, str, int, int, int], None] = {}
             for part in slices(batch, "html"):
                 hosts = part.column(part.schema.get_field_index("host")).to_pylist()
                 for host, b in zip(hosts, texts(part, "html"), strict=True):
                     found, children = blocks(b.decode("utf-8", "replace"))
                     said: dict[str, list[str]] = {}
-                    for node, text in unmarked(found):
+                    found = unmarked(found)
+                    for node, text in found:
                         path = node.path
                         while path:
                             said.setdefault(path, []).append(text)
                             path = path.rpartition(">")[0]
+                    whole = _name(text for _, text in found)
                     for path, lines in said.items():
-                        key = (host, path, _name(children.get(path, ())), _name(lines))
-                        held[key] = held.get(key, 0) + 1
-            cols = list(zip(*held, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string()), "path": pa.array(cols[1], pa.string()), "shape": pa.array(cols[2], pa.int64()), "content": pa.array(cols[3], pa.int64()), "c": pa.array(held.values(), pa.int64())})
-
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, shape long, content long, c long").groupBy("host", "path", "shape", "content").agg(F.sum("c").alias("c"))
+                        if len(lines) < len(found):
+                            held[host, path, _name(children.get(path, ())), _name(lines), whole] = None
+            cols = list(zip(*held, strict=True)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string()), "path": pa.array(cols[1], pa.string())} | {c: pa.array(x, pa.int64()) for c, x in zip(("shape", "content", "whole"), cols[2:], strict=True)})
+
+    key = ["host", "path", "shape", "content"]
+    found = pages.select("host", "html").mapInArrow(run, "host string, path string, shape long, content long, whole long")
+    return found.distinct().groupBy(*key).agg(F.count("*").alias("c"))
 
 
 def _name(parts) -> int:
