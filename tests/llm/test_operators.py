@@ -242,6 +242,16 @@ def test_decontamination_edits():
         assert found == (e if e <= index.budget[0] else None)
 
 
+def test_decontamination_index_is_the_block_s_own():
+    """Two blocks whose broadcast values come to stand at one address."""
+    value, found = [None, None, 0.1], []
+    sent = type("Sent", (), {"value": value})()
+    for key in ("a", "b"):
+        value[:2] = key, [(key, decontaminate.normal(PASSAGE))]
+        found.append(decontaminate._index(sent).ids)
+    assert found == [["a"], ["b"]]
+
+
 def test_suffix_tree(docs):
     out = suffix_tree.scored(docs, ~suffix_tree.held_out(docs["doc_id"]))
     train = lambda d: zlib.crc32(str("null" if d is None else d).encode()) % 7 != 2

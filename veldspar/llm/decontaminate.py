@@ -16,6 +16,7 @@ for an item; a null doc_id or item_id is kept as it is; columns besides id and t
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -176,7 +177,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
     item_type = pa.int64() if kinds["item_id"].simpleString() == "bigint" else pa.int32() if kinds["item_id"].simpleString() == "int" else pa.string()
     out = None
     for held in blocks(benchmark, block):
-        sent = spark.sparkContext.broadcast((held, rate))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, held, rate))
 
         def run(batches, sent=sent):
             index = _index(sent)
@@ -199,15 +200,15 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-_made: dict[int, Index] = {}
+_made: dict[str, Index] = {}
 
 
 def _index(sent) -> Index:
-    """The index of a block, made once in each worker."""
-    key = id(sent.value)
+    """The index of a block, made once in each worker; the key travels with the block, as addresses are used again."""
+    key, items, rate = sent.value
     if key not in _made:
         _made.clear()
-        _made[key] = Index(*sent.value)
+        _made[key] = Index(items, rate)
     return _made[key]
 
 
