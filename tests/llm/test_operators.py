@@ -242,6 +242,12 @@ def test_decontamination_edits():
         assert found == (e if e <= index.budget[0] else None)
 
 
+def test_decontamination_short_items():
+    index = decontaminate.Index([(1, "forty two"), (2, "ox"), (3, "y."), (4, decontaminate.normal(PASSAGE))])
+    out = set(index.matches(["it is forty two, says the fox", "an ox", decontaminate.normal("x " + PASSAGE)]))
+    assert {(d, i, e) for d, i, e, _ in out} == {(0, 0, 0), (1, 1, 0), (2, 3, 0)} and (0, 0, 0, 15) in out
+
+
 def test_decontamination_index_is_the_block_s_own():
     """Two blocks whose broadcast values come to stand at one address."""
     value, found = [None, None, 0.1], []

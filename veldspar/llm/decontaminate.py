@@ -9,13 +9,15 @@ as many, so nothing within the budget is lost.
 Both sides are lower-cased and their white space collapsed.  Items are the stated query set: they are held in
 blocks of at most ``block`` characters (a proven bound for what is broadcast), each block against all rows.
 
-Defined results for odd input: null and empty texts match nothing; items with fewer than ``least`` characters
-are no evidence and are not searched; equal items each match; repeated rows match alike and give one row each
+Items with fewer than ``LEAST`` characters match whole and unchanged only, at word boundaries.
+
+Defined results for odd input: null and empty texts match nothing; equal items each match; repeated rows match alike and give one row each
 for an item; a null doc_id or item_id is kept as it is; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ LEAST = 24
 BLOCK = 4_000_000
 CHUNK = 1 << 18  # characters of text worked on at once
 U = np.uint64
+_WORD = re.compile(r"\w+|[^\w\s]")
 
 
 def normal(text: str) -> str:
@@ -64,7 +67,13 @@ class Index:
         self.budget = np.maximum(0, np.minimum((n * rate).astype(np.int64), (n - Q + 1 - 5) // Q))
         self.bound = n - Q + 1 - self.budget * Q
         self.width = np.maximum(16, self.budget)
-        found = [grams(t) for t in self.text]
+        found = [grams(t) if len(t) >= LEAST else grams(t)[:0] for t in self.text]
+        self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for i, (_, t) in enumerate(items):
+            if len(t) < LEAST:
+                words = tuple(_WORD.findall(t))
+                self.short.setdefault(len(words), {}).setdefault(words, []).append(i)
+        self.raw = [t for _, t in items]
         seen = Counter(x for g in found for x in g.tolist())
         hashes, item, place = [], [], []
         for i, g in enumerate(found):
@@ -130,6 +139,8 @@ class Index:
         parts: list[tuple[int, int, str]] = []
         held = 0
         for n, t in enumerate(docs):
+            if self.short:
+                yield from ((n, i, 0, end) for i, end in self._whole(t))
             for s in range(0, max(1, len(t) - lap), CHUNK):
                 parts.append((n, s, t[s : s + CHUNK + lap]))
                 held += len(parts[-1][2])
@@ -138,6 +149,16 @@ class Index:
                     parts, held = [], 0
         yield from self._joined(parts)
 
+    def _whole(self, text: str) -> Iterator[tuple[int, int]]:
+        """(item, end) of short items that stand in the text."""
+        found = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b] for a, b in found]
+        for size, items in self.short.items():
+            for j in range(len(words) - size + 1):
+                for i in items.get(tuple(words[j : j + size]), ()):
+                    if text[found[j][0] : found[j + size - 1][1]] == self.raw[i]:
+                        yield i, found[j + size - 1][1]
+
     def _joined(self, parts: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
         if not parts:
             return
@@ -153,11 +174,11 @@ class Index:
                     yield parts[p][0], i, got[0], parts[p][1] + got[1]
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK, least: int = LEAST) -> Iterator[list[tuple[object, str]]]:
+def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         t = normal(r.text or "")
-        if len(t) < least:
+        if not t:
             continue
         if held and size + len(t) > block:
             yield held
