@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,11 +37,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until :func:`dropped` or :func:`cleaned_up`, as results that are not written yet may read it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veldspar/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/veldspar/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := _paths.pop(id(df), None)):
+            _delete(df.sparkSession, path)
+
+
+def cleaned_up(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all tables that this application stored, but ``keep``; call it when results are written."""
+    root = f"{shared_dir(spark)}/veldspar/{spark.sparkContext.applicationId}"
+    kept = _paths.get(id(keep), "").rpartition("/")[2]
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for each in fs.listStatus(at) if fs.exists(at) else ():
+        if each.getPath().getName() != kept:
+            fs.delete(each.getPath(), True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, in any case of letters."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
 
 
 def keyed(docs: DataFrame) -> DataFrame:
