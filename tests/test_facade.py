@@ -13,7 +13,7 @@ from veldspar.functions import col, distinct_over, expr, iso_timestamp
 from veldspar.plans import dialect
 from veldspar.plans.guard import FallbackPolicy, Guardrails
 from veldspar.schema import Constraints, SchemaBuilder
-from veldspar.sources import FunctionProvider, JdbcProvider, KeyValueProvider, MemoryProvider
+from veldspar.sources import FunctionProvider, JdbcProvider, KeyValueProvider, MemoryProvider, Refusal, ScanPlan, ScanRequest
 from veldspar.streaming import windowed_counts
 from veldspar.validation import violations
 
@@ -161,6 +161,7 @@ def test_ddl():
         ('SELECT "a b" FROM "t"', "SELECT `a b` FROM `t`"),
         ("SELECT a FROM t WHERE b LIKE 'x\\%'", "SELECT a FROM t WHERE b LIKE 'x\\\\%'"),
         ("SELECT 0.5 FROM t", "SELECT 0.5D FROM t"),
+        ("SELECT 1e5 AS x, 2.5E-3, .5e1, 7 FROM t", "SELECT 1e5D AS x, 2.5E-3D, .5e1D, 7 FROM t"),
     ],
 )
 def test_dialect(sql, want):
@@ -179,10 +180,91 @@ def test_key_value_source(spark):
 def test_lookup_limits(spark):
     rows = spark.range(10)
     with pytest.raises(errors.LookupLimitError):
-        op.lookup_many(rows, "id", [1, 2, 3], batch=1, most=2)
-    left = spark.createDataFrame([(i % 5,) for i in range(20)], "k long")
-    for batches in (100, 1):  # keys by lists, and by a semi join beyond the guardrail
-        assert op.lookup_join(left, rows, "k", "id", "left", max_keys=2, max_batches=batches).count() == 20
+        op.lookup_many(rows, "id", [1, 2, 3], rails=Guardrails(max_lookup_keys=1, max_lookup_batches=2))
+    small = Guardrails(max_lookup_keys=2, max_lookup_batches=3)
+    left = spark.createDataFrame([(i % 5,) for i in range(20)] + [(None,)], "k long")
+    for keyed in (False, True):
+        assert op.lookup_join(left, rows, "k", "id", "left", keyed=keyed, rails=small).count() == 21
+        assert sorted(r.id for r in op.lookup_many(rows, "id", [1, 2, None, 5, 5, 8], keyed=keyed, rails=small).collect()) == [1, 2, 5, 8]
+    assert op.lookup_join(left, rows, "k", "id")._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    with pytest.raises(errors.LookupLimitError):
+        op.lookup_join(left, rows, "k", "id", keyed=True, rails=Guardrails(max_lookup_keys=1, max_lookup_batches=3))
+
+
+def test_guardrails_reach_key_value_sources(spark):
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    kv = KeyValueProvider({"few": (schema, "k", lambda keys: [{"k": k} for k in keys])}, name="rails")
+    declared = SchemaBuilder().table("few", kv.entity("few"), {"k": col.integer()}).build()
+    assert len(ask(Engine(spark, declared), "SELECT k FROM few WHERE k IN (1, 2, 3)")) == 3
+    with pytest.raises(errors.ExecutionError):
+        Engine(spark, declared, rails=Guardrails(max_lookup_keys=1, max_lookup_batches=2)).rows("SELECT k FROM few WHERE k IN (1, 2, 3)")
+
+
+def test_jdbc_reads_a_database(spark):
+    """An embedded database: rows come back, and filters, columns and aggregates are pushed into it."""
+    url = "jdbc:derby:memory:shop;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([(i, f"n{i}", i * 1.5) for i in range(50)], "ID long, NAME string, TOTAL double")
+    rows.write.format("jdbc").options(url=url, dbtable="ORDERS_T", driver=driver).mode("overwrite").save()
+    db = JdbcProvider(url, driver=driver, partition={"ORDERS_T": ("ID", 0, 50, 2)})
+    e = Engine(spark, SchemaBuilder().table("orders", db.entity("ORDERS_T"), {"id": col.id("ID", type="integer"), "total": col.real("TOTAL")}).build())
+    assert ask(e, "SELECT id, total FROM orders WHERE id > 46 ORDER BY id") == [(47, 70.5), (48, 72.0), (49, 73.5)]
+    assert ask(e, "SELECT COUNT(*) AS n, MAX(id) AS top FROM orders") == [(50, 49)]
+    plan = e.explain("SELECT id FROM orders WHERE id > 46", mode="enriched").physical
+    assert "GreaterThan(ID,46)" in plan.replace("*", "") and "NAME" not in plan.split("ReadSchema")[-1]
+
+
+def test_capabilities_see_the_fragment(spark):
+    seen = []
+
+    def can(fragment):
+        seen.append(fragment)
+        return True if "Join" not in fragment.operators else Refusal("no joins here", 7.0)
+
+    declared = SchemaBuilder().table("users", MEMORY.entity("users", can_execute=can), {"id": col.id()}).table("orders", MEMORY.entity("orders", can_execute=can), {"id": col.id(), "user_id": col.string()}).build()
+    e = Engine(spark, declared)
+    assert not e.explain("SELECT id FROM users").diagnostics
+    joined = "SELECT o.id FROM orders o JOIN users u ON o.user_id = u.id"
+    assert [d.code for d in e.explain(joined).diagnostics] == ["VELD_WARN_FALLBACK"] * 2 and "no joins" in e.explain(joined).diagnostics[0].message
+    assert {"Join", "Project"} <= seen[-1].operators and set(seen[-1].relations) == {"users", "orders"}
+    with pytest.raises(errors.FallbackError):
+        Engine(spark, declared, policy=FallbackPolicy(reject_above_cost=5)).query(joined)
+    one = e.session("SELECT id FROM users ORDER BY id")
+    assert [s.operator for s in one.plan()] == ["Fragment(memory)"] and [r.id for r in one.run_to_completion()] == ["usr_1", "usr_2", "usr_3"]
+    assert one.step_state("step_0").state == "done" and len(e.session(joined).plan()) > 1
+
+
+def test_scan_terms_and_residuals(spark):
+    rows = spark.range(100)
+    taken = lambda **k: lambda spark, context, request: ScanPlan(rows.where("id < 50"), frozenset({0}), **k)
+    request = ScanRequest(("id",), (("id", "lt", 50), ("id", "gte", 10)), (("id", "desc"),), 3, 1)
+    entity = MEMORY.entity("x", plan_scan=taken())
+    assert [r.id for r in entity.scan(spark, None, request).collect()] == [48, 47, 46]
+    with pytest.raises(errors.PlanningError):
+        MEMORY.entity("x", plan_scan=taken(limited=True)).scan(spark, None, request)
+    refused = FunctionProvider({"x": lambda spark, context: rows}).entity("x", plan_scan=lambda *a: None)
+    assert [r.id for r in refused.scan(spark, None, request).collect()] == [48, 47, 46]
+
+
+def test_ddl_names_and_comments():
+    ddl = (
+        SchemaBuilder()
+        .table("a", MEMORY.entity("orders"), {"id": col.id(description="the key"), "kind": col.string(enum=lambda: ["x", "y"])}, Constraints(names=((("primary key", ("id",)), "pk_a"),)))
+        .table("b", MEMORY.entity("orders"), {"a_id": col.string()}, Constraints(foreign_keys=((("a_id",), "a", ("id",), "CASCADE"),), names=((("foreign key", ("a_id",)), "fk_b"),)))
+        .build()
+        .to_sql_ddl()
+    )
+    assert 'CONSTRAINT "pk_a" PRIMARY KEY ("id")' in ddl and "/* the key */" in ddl and "IN ('x', 'y')" in ddl
+    assert 'CONSTRAINT "fk_b" FOREIGN KEY ("a_id") REFERENCES "a" ("id") ON DELETE CASCADE' in ddl
+
+
+def test_enum_resolver_is_asked_each_time(spark):
+    values = ["paid"]
+    e = Engine(spark, SchemaBuilder().table("orders", MEMORY.entity("orders"), {"id": col.id(), "status": col.string(enum=lambda: values)}).build())
+    with pytest.raises(errors.EnumError):
+        e.query("SELECT id FROM orders WHERE status = 'void'")
+    values.append("void")
+    assert ask(e, "SELECT id FROM orders WHERE status = 'void'") == []
 
 
 def test_jdbc_options():

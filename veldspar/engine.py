@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import BindingError, ColumnError, EngineError, ExecutionError, GuardrailError, ParseError, QueryTimeout, RelationError
 from .plans import dialect, guard, recursion
 from .schema import Schema, ViewTools
+from .sources import LOOKUP_BATCHES, LOOKUP_KEYS
 from .validation import enforce
 
 #: Settings of a query's own session; paths can't be queried, only declared relations.
@@ -62,9 +63,11 @@ class Engine:
         for k, v in CONF.items():
             child.conf.set(k, v)
         child.conf.set("spark.sql.cteRecursionLevelLimit", str(self.rails.max_recursion))
+        child.conf.set(LOOKUP_KEYS, str(self.rails.max_lookup_keys))
+        child.conf.set(LOOKUP_BATCHES, str(self.rails.max_lookup_batches))
         return child
 
-    def _relations(self, child: SparkSession, context: Any, ts: list[dialect.Token]) -> list[guard.Diagnostic]:
+    def _relations(self, child: SparkSession, context: Any, ts: list[dialect.Token], used: list) -> list[guard.Diagnostic]:
         """Temp views of the relations that the statement names, and of what views need."""
         made: dict[str, DataFrame] = {}
         notes: list[guard.Diagnostic] = []
@@ -77,7 +80,7 @@ class Engine:
                 if key in self.schema.tables:
                     table = self.schema.tables[key]
                     made[key] = table.load(child, context)
-                    notes.extend(guard.fallback([table.entity], self.policy))
+                    used.append(table.entity)
                     notes.extend(enforce(made[key], table, self.schema, self.constraints))
                 else:
                     view = self.schema.views[key]
@@ -97,12 +100,13 @@ class Engine:
         ts = dialect.single(sql)
         guard.check_enums(ts, self.schema)
         child = self._session(context)
-        notes = self._relations(child, context, ts)
+        used: list = []
+        notes = self._relations(child, context, ts, used)
         allowed = {n.lower() for n in [*self.schema.tables, *self.schema.views]}
         ts = self._distinct_recursion(child, ts, allowed)
         spark_sql = dialect.text(dialect.rewritten(ts))
-        guard.admitted(child, spark_sql, allowed)
-        return child, spark_sql, notes
+        tree = guard.admitted(child, spark_sql, allowed)
+        return child, spark_sql, guard.fallback(used, self.policy, spark_sql, tree) + notes
 
     def _distinct_recursion(self, child: SparkSession, ts: list[dialect.Token], allowed: set[str]) -> list[dialect.Token]:
         """Replace recursive CTEs joined by UNION with views that hold their fixpoint."""
@@ -195,6 +199,14 @@ class Engine:
         return Explanation(sql, spark_sql, mode, q.logical().treeString(), q.analyzed().treeString(), q.optimizedPlan().treeString(), physical, fragments, notes)
 
     def session(self, sql: str, context: Any = None) -> QuerySession:
+        """Steps of a query; one step only if one provider takes the whole statement."""
+        words = {dialect.name_of(t).lower() for t in dialect.single(sql) if t.kind in ("word", "quoted")}
+        used = [t.entity for t in self.schema.tables.values() if t.name.lower() in words]
+        views = any(n.lower() in words for n in self.schema.views)
+        if used and not views and len({e.provider for e in used}) == 1 and all(e.can_execute for e in used):
+            tree = guard.parsed(self.spark, dialect.to_spark(sql)).treeString()
+            if not guard.fallback(used, guard.FallbackPolicy(), sql, tree):
+                return FragmentSession(self, sql, context, used[0].provider)
         return QuerySession(self, sql, context)
 
 
@@ -213,7 +225,10 @@ class Step:
 
 
 class QuerySession:
-    """A query seen as steps: the plan's operators, children first. It runs once, on the first ``next``."""
+    """A query seen as steps: the plan's operators, children first.
+
+    It runs once, on the first ``next``; finished steps are replayed in the plan's order, and the last has the row count.
+    """
 
     def __init__(self, engine: Engine, sql: str, context: Any = None):
         self.engine, self.df = engine, engine.query(sql, context)
@@ -270,3 +285,12 @@ class QuerySession:
 
     def step_state(self, id: str) -> Step:
         return next(s for s in self.steps if s.id == id)
+
+
+class FragmentSession(QuerySession):
+    """A query that one provider takes whole: a single step."""
+
+    def __init__(self, engine: Engine, sql: str, context: Any, provider: str):
+        self.provider = provider
+        super().__init__(engine, sql, context)
+        self.steps = [Step("step_0", f"Fragment({provider})", [])]

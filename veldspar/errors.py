@@ -69,6 +69,12 @@ class FallbackError(EngineError):
     code, sqlstate = "VELD_ERR_FALLBACK", "0A001"
 
 
+class PlanningError(EngineError):
+    """A source's answer to a request can't give the request's rows."""
+
+    code, sqlstate = "VELD_ERR_PLANNING", "0A002"
+
+
 class ConstraintError(EngineError):
     """``violations`` has (table, constraint, columns, rows)."""
 

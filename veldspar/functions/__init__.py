@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
@@ -23,7 +23,7 @@ class ColumnSpec:
     nullable: bool = True
     primary_key: bool = False
     unique: bool = False
-    enum: tuple[str, ...] | None = None
+    enum: tuple[str, ...] | Callable[[], Iterable[str]] | None = None
     enum_from: tuple[str, str] | None = None
     enum_map: tuple[tuple[str, str], ...] | None = None
     references: tuple[str, str] | None = None
@@ -34,13 +34,17 @@ class ColumnSpec:
     physical_type: str | None = None
     description: str | None = None
 
+    def values(self) -> tuple[str, ...] | None:
+        """The enum's values; a resolver is asked each time."""
+        return tuple(self.enum()) if callable(self.enum) else self.enum
+
     def with_(self, **changes) -> ColumnSpec:
         return replace(self, **changes)
 
 
 def _of(kind: str):
     def make(source: str | None = None, **options) -> ColumnSpec:
-        if "enum" in options and options["enum"] is not None:
+        if "enum" in options and options["enum"] is not None and not callable(options["enum"]):
             options["enum"] = tuple(options["enum"])
         if "enum_map" in options and options["enum_map"] is not None:
             options["enum_map"] = tuple(dict(options["enum_map"]).items())
@@ -88,7 +92,7 @@ def iso_timestamp(c: Column) -> Column:
 
 
 def distinct_over(kind: str, value: Column, window) -> Column:
-    """count, sum or avg of distinct values over a window, which Spark has no function for."""
+    """count, sum or avg of distinct values over a window, which Spark has no function for; a sum has its values' type."""
     seen = F.collect_set(value).over(window)
-    total = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, x: a + x))
-    return {"count": lambda: F.size(seen).cast("long"), "sum": lambda: total, "avg": lambda: total / F.size(seen)}[kind]()
+    total = F.when(F.size(seen) > 0, F.aggregate(F.slice(seen, F.lit(2), F.greatest(F.size(seen), F.lit(1))), F.element_at(seen, 1), lambda a, x: a + x))
+    return {"count": lambda: F.size(seen).cast("long"), "sum": lambda: total, "avg": lambda: total.cast("double") / F.size(seen)}[kind]()

@@ -5,7 +5,6 @@ All are declarative: Catalyst prunes, pushes down and picks the physical join or
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -14,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import LookupLimitError, UnsupportedError
+from ..plans.guard import Guardrails
 from ..plans.recursion import fixpoint as recursive_union  # noqa: F401
 from ..sources import lookup_many  # noqa: F401
 
 
 def clause(column: str | Column, op: str, value: Any = None) -> Column:
-    """One scan filter; NULL entries of an IN list match nothing and exclude nothing."""
+    """One scan filter, as SQL has it: a NULL entry of an IN list matches nothing, and one of a NOT IN list leaves nothing."""
     c = F.col(column) if isinstance(column, str) else column
     match op:
         case "eq":
@@ -35,9 +35,9 @@ def clause(column: str | Column, op: str, value: Any = None) -> Column:
         case "lte":
             return c <= value
         case "in":
-            return c.isin(*[v for v in value if v is not None])
+            return c.isin(*value)
         case "not_in":
-            return c.isNotNull() & ~c.isin(*[v for v in value if v is not None])
+            return ~c.isin(*value)
         case "like":
             return c.like(value.replace("\\", "\\\\"))
         case "not_like":
@@ -91,22 +91,21 @@ def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: s
     return left.join(right, left[left_on] == right[right_on], KINDS[kind])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str = "inner", max_keys: int = 1_000, max_batches: int = 100) -> DataFrame:
-    """Join that fetches only the right rows whose key occurs on the left.
+def lookup_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str = "inner", keyed: bool = False, rails: Guardrails = Guardrails()) -> DataFrame:
+    """Join that needs only the right rows whose key occurs on the left.
 
-    The distinct keys are counted up to the guardrail, never further.  As many as it allows go to the source as IN lists
-    (what a keyed store needs); beyond it the right side is reduced by a distributed semi join instead.
+    Files and databases are joined as they are: one scan of each side, which Spark prunes at run time.  A source that only
+    answers by key (``keyed``) gets the distinct keys as IN lists, within the guardrails' number of keys and batches.
     """
-    keys = left.where(F.col(left_on).isNotNull()).select(left_on).distinct()
-    most = max_keys * max_batches
-    found = [r[0] for r in keys.limit(most + 1).collect()] if most <= 100_000 else None
-    if found is None or len(found) > most:
-        reduced = right.join(keys.withColumnRenamed(left_on, "__key"), right[right_on] == F.col("__key"), "left_semi")
-    else:
-        reduced = lookup_many(right, right_on, found, batch=max_keys, most=max_batches)
     if kind not in ("inner", "left"):
         raise LookupLimitError("lookup joins are inner or left")
-    return left.join(reduced, left[left_on] == reduced[right_on], KINDS[kind])
+    if keyed:
+        most = rails.max_lookup_keys * rails.max_lookup_batches
+        found = [r[0] for r in left.where(F.col(left_on).isNotNull()).select(left_on).distinct().limit(most + 1).collect()]
+        if len(found) > most:
+            raise LookupLimitError(f"more than {most} lookup keys")
+        right = lookup_many(right, right_on, found, keyed=True, rails=rails)
+    return left.join(right, left[left_on] == right[right_on], KINDS[kind])
 
 
 def metric(fn: str, column: str | None = None, distinct: bool = False) -> Column:
@@ -141,7 +140,3 @@ def set_op(op: str, *parts: DataFrame) -> DataFrame:
     """Left-associative; columns align by position to the first part's names."""
     do = {"union_all": DataFrame.union, "union": lambda a, b: a.union(b).distinct(), "intersect": DataFrame.intersect, "except": DataFrame.subtract}[op]
     return reduce(lambda a, b: do(a, b.toDF(*a.columns)), parts)
-
-
-def batches(keys: list, size: int) -> list[tuple]:
-    return list(itertools.batched(keys, size))

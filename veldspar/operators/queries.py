@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import operators as op
 from ..engine import Engine
-from ..functions import col, expr
+from ..functions import col, expr, iso_timestamp
 from ..schema import Constraints, Schema, SchemaBuilder
-from ..sources import FileProvider
+from ..sources import FileProvider, FunctionProvider, KeyValueProvider, MemoryProvider, ScanPlan, ScanRequest
 from ..streaming import windowed_counts
 from ..validation import violations
 
@@ -79,19 +80,19 @@ SAME = {
     "filter_literal_left": "SELECT o_orderkey FROM orders WHERE 300000 < o_totalprice",
     "filter_in": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "filter_not_in": "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')",
-    "filter_in_null": "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', NULL)",
-    "filter_between": "SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 1000 AND 1200",
-    "filter_like": "SELECT p_partkey FROM part WHERE p_name LIKE '%a_t%'",
+    "filter_in_null": "SELECT o_orderkey, o_orderpriority IN ('1-URGENT', NULL) AS a, o_orderpriority NOT IN ('1-URGENT', NULL) AS b FROM orders",
+    "filter_between": "SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 920 AND 940",
+    "filter_like": "SELECT p_partkey FROM part WHERE p_name LIKE '%l_e b%'",
     "filter_not_like": "SELECT p_partkey FROM part WHERE p_type NOT LIKE '%STEEL%'",
-    "filter_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
-    "filter_not_null": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL",
-    "filter_distinct_from": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus IS DISTINCT FROM 'F'",
-    "filter_not_distinct_from": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus IS NOT DISTINCT FROM NULL",
+    "filter_null": "SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
+    "filter_not_null": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL",
+    "filter_distinct_from": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus IS DISTINCT FROM 'F'",
+    "filter_not_distinct_from": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus IS NOT DISTINCT FROM NULL OR o.o_orderstatus IS NOT DISTINCT FROM 'F'",
     "filter_bool_tree": "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR (o_totalprice > 200000 AND NOT o_orderpriority = '5-LOW')) AND o_orderkey > 5",
     "select_no_from": "SELECT 1 AS x, 'a' AS y",
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
-    "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey",
-    "join_right": "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey",
+    "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey",
+    "join_right": "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 480000) o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey",
     "join_full": "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey",
     "join_multi": "SELECT r.r_name, n.n_name, COUNT(*) AS n_orders FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN customer c ON n.n_nationkey = c.c_nationkey JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY r.r_name, n.n_name",
     "join_self": "SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey",
@@ -104,7 +105,7 @@ SAME = {
     "agg_ordinal_expr": "SELECT CASE WHEN o_totalprice > 150000 THEN 'big' ELSE 'small' END AS size_class, COUNT(*) AS n FROM orders GROUP BY 1",
     "agg_having": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12",
     "agg_having_hidden": "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING SUM(o_totalprice) > 1500000",
-    "agg_null_key": "SELECT o.o_orderstatus, COUNT(*) AS n, COUNT(o.o_orderkey) AS orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY o.o_orderstatus",
+    "agg_null_key": "SELECT o.o_orderstatus, COUNT(*) AS n, COUNT(o.o_orderkey) AS orders, MIN(o.o_totalprice) AS low FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey GROUP BY o.o_orderstatus",
     "select_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "win_row_number": "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
     "win_rank": "SELECT p_partkey, RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part",
@@ -120,12 +121,12 @@ SAME = {
     "sort_alias": "SELECT o_orderkey, o_totalprice AS t FROM orders ORDER BY t DESC, o_orderkey LIMIT 10",
     "sort_ordinal": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10",
     "sort_aggregate": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 7",
-    "sort_nulls": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey ASC NULLS FIRST, c.c_custkey LIMIT 30",
+    "sort_nulls": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey DESC NULLS LAST, c.c_custkey LIMIT 1200",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect_distinct": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "except_distinct": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except_distinct": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 480000) o",
     "setop_chain": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1",
     "cte_single": "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000) SELECT o_custkey, COUNT(*) AS n FROM big GROUP BY o_custkey",
     "cte_chained": "WITH a(k, t) AS (SELECT o_custkey, o_totalprice FROM orders), b AS (SELECT k, MAX(t) AS top FROM a GROUP BY k) SELECT k, top FROM b WHERE top > 300000",
@@ -138,9 +139,9 @@ SAME = {
     "subq_exists": "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)",
     "subq_not_exists": "SELECT r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 99)",
     "corr_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
-    "corr_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "corr_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 480000)",
     "subq_in": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
-    "subq_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "subq_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)",
     "corr_in": "SELECT c_custkey FROM customer c WHERE c.c_custkey IN (SELECT o.o_custkey FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "corr_not_in": "SELECT c_custkey FROM customer c WHERE c.c_custkey NOT IN (SELECT o.o_custkey FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "corr_scalar_where": "SELECT o_orderkey FROM orders o WHERE o.o_totalprice = (SELECT MAX(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
@@ -149,15 +150,30 @@ SAME = {
     "fn_concat": "SELECT n_name || '-' || r_name AS full_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "fn_case_conv": "SELECT p_partkey, LOWER(p_type) AS low, UPPER(p_name) AS up FROM part",
     "fn_text": "SELECT p_partkey, TRIM('  ' || p_name || ' ') AS t, LENGTH(p_name) AS n, SUBSTR(p_name, 2, 3) AS s, SUBSTRING(p_name, 3) AS u FROM part",
-    "fn_coalesce_nullif": "SELECT c.c_custkey, COALESCE(o.o_orderkey, -1) AS k, NULLIF(c.c_mktsegment, 'BUILDING') AS seg FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey",
+    "fn_coalesce_nullif": "SELECT c.c_custkey, COALESCE(o.o_orderkey, -1) AS k, COALESCE(NULL, o.o_orderstatus) AS s, NULLIF(c.c_mktsegment, 'BUILDING') AS seg FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey",
     "fn_abs_round": "SELECT c_custkey, ABS(c_acctbal) AS a, ROUND(c_acctbal) AS r0, ROUND(c_acctbal, 1) AS r1 FROM customer",
     "fn_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'small' END AS c FROM orders",
     "fn_compare": "SELECT p_partkey, p_size = 5 AS a, p_size <> 5 AS b, p_size > 5 AS c, p_size >= 5 AS d, p_size < 5 AS e, p_size <= 5 AS f, NOT p_size = 5 AS g, p_size BETWEEN 3 AND 9 AS h, p_brand IS NULL AS i FROM part",
+    "filter_in_null_rows": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', NULL)",
+    "fn_null_tests": "SELECT c.c_custkey, o.o_orderstatus IS NULL AS a, o.o_orderstatus IS NOT NULL AS b, o.o_orderstatus IS NOT DISTINCT FROM NULL AS c, o.o_orderstatus IS DISTINCT FROM 'F' AS d, o.o_orderstatus = 'F' AS e, NOT (o.o_orderstatus = 'F') AS f FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 480000) o ON c.c_custkey = o.o_custkey",
+    "fn_exponent": "SELECT p_partkey, p_size * 1e2 AS a, 1.5E-1 * p_size AS b, .5e1 AS c FROM part WHERE p_retailprice < 9.5e2",
+    "fn_backslash": "SELECT n_name, n_name || '\\x' AS a, n_name || '\\x' LIKE '%\\x' AS b, n_name LIKE 'A\\_%' AS c FROM nation",
+    "fn_boolean": "SELECT p_partkey, CAST(p_size - 1 AS BOOLEAN) AS a, CAST(p_size > 10 AS INTEGER) AS b, (p_size > 10) = TRUE AS c FROM part",
+    "fn_substr_negative": "SELECT p_partkey, SUBSTR(p_name, -3) AS a, SUBSTR(p_name, -4, 2) AS b FROM part",
+    "win_default_frame": "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS n, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS top FROM orders",
+    "win_range_frame": "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS n FROM orders",
+    "join_null_keys": "SELECT a.k, b.v FROM (SELECT NULLIF(n_regionkey, 1) AS k, n_nationkey FROM nation) a JOIN (SELECT NULLIF(r_regionkey, 1) AS k, r_name AS v FROM region) b ON a.k = b.k",
+    "not_in_null_subquery": "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region WHERE r_regionkey < 2) OR n_nationkey < 3",
     "market_share": "SELECT n.n_name, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderstatus = 'F' GROUP BY n.n_name",
 }
 
 #: Name: (facade SQL, DuckDB twin, context).
 TWINS = {
+    "win_distinct_kinds": (
+        "SELECT o_orderkey, COUNT(DISTINCT o_orderpriority, o_orderstatus) OVER (PARTITION BY o_custkey) AS pairs, SUM(DISTINCT o_custkey) OVER (PARTITION BY o_orderstatus) AS total, ROUND(AVG(DISTINCT o_custkey) OVER (PARTITION BY o_orderstatus), 4) AS mean, COUNT(DISTINCT NULLIF(o_orderstatus, 'F')) OVER (PARTITION BY o_custkey) AS kinds FROM orders",
+        "SELECT o_orderkey, COUNT(DISTINCT o_orderpriority || o_orderstatus) OVER (PARTITION BY o_custkey) AS pairs, CAST(SUM(DISTINCT o_custkey) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS total, ROUND(AVG(DISTINCT o_custkey) OVER (PARTITION BY o_orderstatus), 4) AS mean, COUNT(DISTINCT NULLIF(o_orderstatus, 'F')) OVER (PARTITION BY o_custkey) AS kinds FROM orders",
+        None,
+    ),
     "limit_mysql": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20", None),
     "fn_cast": ("SELECT o_orderkey, CAST(o_orderkey AS TEXT) AS t, CAST(o_totalprice AS INTEGER) AS i, CAST(o_orderkey AS REAL) AS r FROM orders", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS t, CAST(trunc(o_totalprice) AS BIGINT) AS i, CAST(o_orderkey AS DOUBLE) AS r FROM orders", None),
     "fn_divide_zero": ("SELECT p_partkey, 10 / (p_size - p_size) AS z FROM part", "SELECT p_partkey, CAST(NULL AS DOUBLE) AS z FROM part", None),
@@ -179,16 +195,17 @@ def _api(build: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Query:
 APIS: dict[str, tuple[Query, str]] = {
     "op_scan": (_api(lambda t: op.scan(t("orders"), ["o_orderkey"], [("o_orderstatus", "eq", "F"), ("o_totalprice", "gt", 1000.0)], [("o_orderkey", "desc")], 20, 5)), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_orderkey DESC LIMIT 20 OFFSET 5"),
     "op_clauses": (
-        _api(lambda t: op.filtered(t("part"), [("p_size", "gte", 3), ("p_size", "lte", 40), ("p_size", "neq", 9), ("p_size", "not_in", [5, None]), ("p_name", "like", "%e%"), ("p_brand", "is_not_null"), ("p_brand", "is_distinct_from", "x")]).select("p_partkey")),
-        "SELECT p_partkey FROM part WHERE p_size >= 3 AND p_size <= 40 AND p_size <> 9 AND p_size NOT IN (5) AND p_name LIKE '%e%' AND p_brand IS NOT NULL",
+        _api(lambda t: op.filtered(t("part"), [("p_size", "gte", 3), ("p_size", "lte", 40), ("p_size", "neq", 9), ("p_size", "not_in", [5, 7]), ("p_name", "like", "%e%"), ("p_brand", "is_not_null"), ("p_brand", "is_distinct_from", "x")]).select("p_partkey")),
+        "SELECT p_partkey FROM part WHERE p_size >= 3 AND p_size <= 40 AND p_size <> 9 AND p_size NOT IN (5, 7) AND p_name LIKE '%e%' AND p_brand IS NOT NULL",
     ),
     "join_semi": (_api(lambda t: op.join(t("customer"), t("orders"), "c_custkey", "o_custkey", "semi").select("c_custkey")), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "join_anti": (_api(lambda t: op.join(t("customer"), t("orders"), "c_custkey", "o_custkey", "anti").select("c_custkey")), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "join_anti": (_api(lambda t: op.join(t("customer"), op.filtered(t("orders"), [("o_totalprice", "gt", 480000.0)]), "c_custkey", "o_custkey", "anti").select("c_custkey")), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)"),
+    "op_not_in_null": (_api(lambda t: op.project(t("part"), p_partkey="p_partkey", a=op.clause("p_size", "not_in", [5, None]), b=op.clause("p_size", "in", [5, None]))), "SELECT p_partkey, p_size NOT IN (5, NULL) AS a, p_size IN (5, NULL) AS b FROM part"),
     "join_lookup": (_api(lambda t: op.lookup_join(op.filtered(t("orders"), [("o_totalprice", "gt", 300000.0)]), t("customer"), "o_custkey", "c_custkey").select("o_orderkey", "c_name")), "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000"),
-    "op_lookup_many": (_api(lambda t: op.lookup_many(t("customer"), "c_custkey", [3, 5, None, 5, 8], ["c_custkey", "c_name"], batch=2)), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8)"),
+    "op_lookup_many": (_api(lambda t: op.lookup_many(t("customer"), "c_custkey", [3, 5, None, 5, 8], ["c_custkey", "c_name"])), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (3, 5, 8)"),
     "op_aggregate": (_api(lambda t: op.aggregate(t("orders"), ["o_orderstatus"], {"n": ("count",), "kinds": ("count", "o_orderpriority", True), "top": ("max", "o_totalprice")}, F.col("n") > 1)), "SELECT o_orderstatus, COUNT(*) AS n, COUNT(DISTINCT o_orderpriority) AS kinds, MAX(o_totalprice) AS top FROM orders GROUP BY 1 HAVING COUNT(*) > 1"),
     "op_window": (_api(lambda t: op.window(t("orders"), "rn", "row_number", (), ["o_custkey"], [("o_orderkey", "asc")]).select("o_orderkey", "rn")), "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders"),
-    "op_set_chain": (_api(lambda t: op.set_op("except", t("nation").select("n_nationkey"), t("customer").select("c_nationkey"), t("supplier").select("s_nationkey"))), "SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier"),
+    "op_set_chain": (_api(lambda t: op.set_op("except", t("nation").select("n_nationkey"), t("customer").where("c_nationkey < 8").select("c_nationkey"), t("supplier").where("s_nationkey > 15").select("s_nationkey"))), "SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 8 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 15"),
     "topk": (_api(lambda t: op.top_k(t("orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", "desc"), ("o_orderkey", "asc")], 15)), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15"),
     "event_windows": (_api(lambda t: windowed_counts(t("events"), "ts", ["event_type"], "1 hour").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2"),
     "constraint_checks": (
@@ -202,5 +219,54 @@ APIS: dict[str, tuple[Query, str]] = {
     ),
 }
 
-QUERIES: dict[str, Query] = {n: _sql(s) for n, s in SAME.items()} | {n: _sql(s, c) for n, (s, _, c) in TWINS.items()} | {n: q for n, (q, _) in APIS.items()}
-SQL: dict[str, str] = SAME | {n: s for n, (_, s, _) in TWINS.items()} | {n: s for n, (_, s) in APIS.items()}
+
+
+# -- providers that are no files ----------------------------------------------------------------------------
+
+_SQUARES = T.StructType([T.StructField("k", T.LongType()), T.StructField("square", T.LongType())])
+
+
+def _stored(keys: tuple) -> list[dict]:
+    """A store that answers by key, with text for numbers; every seventh is missing."""
+    return [{"sq": str(int(k.split(":")[1]) ** 2)} if int(k.split(":")[1]) % 7 else {} for k in keys]
+
+
+def _other_providers(root: str) -> Schema:
+    memory = MemoryProvider({"levels": ([(1, "low"), (2, None), (3, "high"), (None, "none")], "level long, label string")})
+    made = FunctionProvider({"sizes": lambda spark, ctx: spark.read.parquet(f"{root}/part.parquet").groupBy("p_size").count()})
+    kv = KeyValueProvider({"squares": (_SQUARES, "k", _stored)}, build_key=lambda name, k: f"{name}:{k}", decode=lambda name, k, r: {"k": k, "square": int(r["sq"])})
+    files = FileProvider(root)
+    b = SchemaBuilder()
+    b.table("levels", memory.entity("levels"), {"level": col.integer(), "label": col.string(coerce=F.upper)})
+    b.table("sizes", made.entity("sizes"), {"size": col.integer("p_size"), "n": col.integer("count")})
+    b.table("squares", kv.entity("squares"), {"k": col.integer(), "square": col.integer()})
+    b.table("shipped", files.entity("orders", scope=lambda ctx: lambda rows: rows["o_orderdate"] < F.lit(ctx).cast("timestamp")), {"id": col.integer("o_orderkey"), "day": col.string("o_orderdate", coerce=iso_timestamp)})
+    return b.build()
+
+
+def _other(text: str, context=None) -> Query:
+    return lambda spark, root: Engine(spark, _other_providers(root)).query(text, context)
+
+
+def _residual(spark: SparkSession, root: str) -> DataFrame:
+    """A source that takes one filter and the sort itself, by number; the other filter and the limit are left to Spark."""
+
+    def plan(spark, context, request):
+        rows = spark.read.parquet(f"{root}/orders.parquet").where(op.clause(*request.filters[0]))
+        return ScanPlan(op.ordered(rows, list(request.order_by)), frozenset({0}), sorted=True)
+
+    entity = FileProvider(root).entity("orders", plan_scan=plan)
+    return entity.scan(spark, None, ScanRequest(("o_orderkey",), (("o_orderstatus", "eq", "F"), ("o_totalprice", "lt", 200000.0)), (("o_orderkey", "desc"),), 25, 5))
+
+
+SOURCES: dict[str, tuple[Query, str]] = {
+    "src_memory": (_other("SELECT level, label FROM levels"), "SELECT * FROM (VALUES (1, 'LOW'), (2, NULL), (3, 'HIGH'), (NULL, 'NONE')) v(level, label)"),
+    "src_function": (_other("SELECT size, n FROM sizes WHERE size > 10"), "SELECT p_size AS size, COUNT(*) AS n FROM part WHERE p_size > 10 GROUP BY 1"),
+    "src_key_value": (_other("SELECT k, square FROM squares WHERE k IN (1, 2, 7, 9)"), "SELECT c_custkey AS k, c_custkey * c_custkey AS square FROM customer WHERE c_custkey IN (1, 2, 9)"),
+    "src_coerce_scope": (_other("SELECT id, day FROM shipped", "1995-03-01"), "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS day FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01'"),
+    "src_residual": (_residual, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 200000 ORDER BY o_orderkey DESC LIMIT 25 OFFSET 5"),
+    "src_join_providers": (_other("SELECT l.label, s.square FROM levels l JOIN squares s ON l.level = s.k WHERE s.k IN (1, 2, 3)"), "SELECT CASE level WHEN 1 THEN 'LOW' WHEN 3 THEN 'HIGH' END AS label, level * level AS square FROM (VALUES (1), (2), (3)) v(level)"),
+}
+
+QUERIES: dict[str, Query] = {n: _sql(s) for n, s in SAME.items()} | {n: _sql(s, c) for n, (s, _, c) in TWINS.items()} | {n: q for n, (q, _) in (APIS | SOURCES).items()}
+SQL: dict[str, str] = SAME | {n: s for n, (_, s, _) in TWINS.items()} | {n: s for n, (_, s) in (APIS | SOURCES).items()}

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import EnumError, FallbackError, GuardrailError, ParseError, RelationError, StatementError
 from ..schema import Schema
+from ..sources import Fragment, Refusal
 from .dialect import Token, name_of
 
 
@@ -101,16 +102,22 @@ def count_nodes(tree: str, rails: Guardrails) -> int:
     return n
 
 
-def fallback(sql_uses: list, policy: FallbackPolicy) -> list[Diagnostic]:
-    """Diagnostics for entities whose provider does not take the query: Spark reads and finishes the work itself."""
-    out = []
-    for entity in sql_uses:
-        if entity.can_execute is None or entity.can_execute(entity.name):
+def fallback(entities: list, policy: FallbackPolicy, sql: str, tree: str) -> list[Diagnostic]:
+    """Diagnostics for entities whose provider does not take the statement: Spark reads and finishes the work itself."""
+    operators = frozenset(re.findall(r"^[\s:+-]*'?([A-Z]\w+)", tree, re.M))
+    names, out = tuple(e.name for e in entities), []
+    for entity in entities:
+        if entity.can_execute is None:
             continue
+        answer = entity.can_execute(Fragment(entity.provider, entity.name, sql, names, operators))
+        if answer is True:
+            continue
+        why, cost = (answer.reason, answer.cost) if isinstance(answer, Refusal) else ("it can't run this query", None)
+        cost = entity.estimate if cost is None else cost
         if not policy.allow:
-            raise FallbackError(f"{entity.provider}.{entity.name} can't run this query and fallback is off")
-        if policy.reject_above_cost is not None and (entity.estimate or 0) > policy.reject_above_cost:
-            raise FallbackError(f"{entity.provider}.{entity.name}: cost {entity.estimate} is above {policy.reject_above_cost}")
+            raise FallbackError(f"{entity.provider}.{entity.name}: {why}, and fallback is off")
+        if policy.reject_above_cost is not None and (cost or 0) > policy.reject_above_cost:
+            raise FallbackError(f"{entity.provider}.{entity.name}: {why}; cost {cost} is above {policy.reject_above_cost}")
         if policy.warn:
-            out.append(Diagnostic("VELD_WARN_FALLBACK", f"{entity.provider}.{entity.name} is read and finished by Spark"))
+            out.append(Diagnostic("VELD_WARN_FALLBACK", f"{entity.provider}.{entity.name} is read and finished by Spark: {why}"))
     return out

@@ -18,10 +18,13 @@ DDL_TYPES = {"text": "TEXT", "integer": "INTEGER", "real": "REAL", "blob": "BLOB
 
 @dataclass(frozen=True)
 class Constraints:
+    """``names`` gives a constraint's name by its columns; a foreign key's fourth and fifth parts are its ON DELETE and ON UPDATE."""
+
     primary_key: tuple[str, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
-    foreign_keys: tuple[tuple[tuple[str, ...], str, tuple[str, ...]], ...] = ()
+    foreign_keys: tuple[tuple, ...] = ()
     checks_in: tuple[tuple[str, tuple[Any, ...]], ...] = ()
+    names: tuple[tuple[tuple[str, tuple[str, ...]], str], ...] = ()  # ((kind, columns), name); kinds as in DDL, lower case
 
 
 @dataclass(frozen=True)
@@ -108,24 +111,26 @@ class Schema:
         spec = self.tables[table].columns[column]
         if spec.enum_from:
             return self._enum(*spec.enum_from, seen | {(table, column)})
-        return spec.enum
+        return spec.values()
 
     def to_sql_ddl(self, if_not_exists: bool = False) -> str:
         """CREATE TABLE statements of all tables; views have none."""
         out = []
         for t in self.tables.values():
-            lines = []
+            lines, named = [], dict(t.constraints.names)
+            mark = lambda kind, cols: f'CONSTRAINT "{named[kind, tuple(cols)]}" ' if (kind, tuple(cols)) in named else ""  # noqa: B023, E731
             for n, c in t.columns.items():
                 if c.expr:
                     continue
-                lines.append(f'"{n}" {c.physical_type or DDL_TYPES[c.type]}' + " NOT NULL" * (not c.nullable))
+                note = f" /* {c.description.replace('*/', '* /')} */" if c.description else ""
+                lines.append(f'"{n}" {c.physical_type or DDL_TYPES[c.type]}' + " NOT NULL" * (not c.nullable) + note)
                 if c.enum and not c.enum_map:
-                    lines.append(f'CHECK ("{n}" IN ({", ".join(map(_literal, c.enum))}))')
+                    lines.append(mark("check", (n,)) + f'CHECK ("{n}" IN ({", ".join(map(_literal, c.values()))}))')
                 if c.references:
-                    lines.append(_foreign((n,), c.references[0], (c.references[1],)) + (f" ON DELETE {c.on_delete}" if c.on_delete else "") + (f" ON UPDATE {c.on_update}" if c.on_update else ""))
-            lines += [f"PRIMARY KEY ({_names(t.key)})"] * bool(t.key) + [f"UNIQUE ({_names(u)})" for u in t.uniques]
-            lines += [_foreign(*f) for f in t.constraints.foreign_keys]
-            lines += [f'CHECK ("{c}" IN ({", ".join(map(_literal, vs))}))' for c, vs in t.constraints.checks_in]
+                    lines.append(mark("foreign key", (n,)) + _foreign((n,), c.references[0], (c.references[1],), c.on_delete, c.on_update))
+            lines += [mark("primary key", t.key) + f"PRIMARY KEY ({_names(t.key)})"] * bool(t.key) + [mark("unique", u) + f"UNIQUE ({_names(u)})" for u in t.uniques]
+            lines += [mark("foreign key", f[0]) + _foreign(*f) for f in t.constraints.foreign_keys]
+            lines += [mark("check", (c,)) + f'CHECK ("{c}" IN ({", ".join(map(_literal, vs))}))' for c, vs in t.constraints.checks_in]
             lines.sort(key=lambda x: not x.startswith('"'))
             out.append(f'CREATE TABLE {"IF NOT EXISTS " * if_not_exists}"{t.name}" (\n  ' + ",\n  ".join(lines) + "\n);")
         return "\n\n".join(out)
@@ -139,8 +144,8 @@ def _literal(v: Any) -> str:
     return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
 
 
-def _foreign(columns, table: str, to) -> str:
-    return f'FOREIGN KEY ({_names(columns)}) REFERENCES "{table}" ({_names(to)})'
+def _foreign(columns, table: str, to, on_delete: str | None = None, on_update: str | None = None) -> str:
+    return f'FOREIGN KEY ({_names(columns)}) REFERENCES "{table}" ({_names(to)})' + (f" ON DELETE {on_delete}" if on_delete else "") + (f" ON UPDATE {on_update}" if on_update else "")
 
 
 class SchemaBuilder:
@@ -183,13 +188,13 @@ class SchemaBuilder:
                 out.append(f"{t.name}.{n}: unknown type {c.type}")
             if c.primary_key and c.unique:
                 out.append(f"{t.name}.{n}: primary key and unique at once")
-            if c.enum is not None and not c.enum:
+            if c.enum is not None and not c.values():
                 out.append(f"{t.name}.{n}: empty enum")
             if (c.enum or c.enum_from) and c.type != "text":
                 out.append(f"{t.name}.{n}: only text has enums")
             if c.enum_from and schema._enum(t.name, n, set()) is None:
                 out.append(f"{t.name}.{n}: enum_from names no enum")
-            if c.enum_map and c.enum and {v for _, v in c.enum_map} - set(c.enum):
+            if c.enum_map and c.enum and {v for _, v in c.enum_map} - set(c.values()):
                 out.append(f"{t.name}.{n}: enum_map leads outside the enum")
             if c.references and (c.references[0] not in schema.tables or c.references[1] not in schema.tables[c.references[0]].columns):
                 out.append(f"{t.name}.{n}: references an unknown column")
@@ -209,7 +214,7 @@ class SchemaBuilder:
             out.append(f"{t.name}: two primary keys")
         for names in [k.primary_key, *k.unique, *[f[0] for f in k.foreign_keys], *[(c,) for c, _ in k.checks_in]]:
             out += [f"{t.name}: a constraint names an unknown column {n}" for n in names if n not in t.columns]
-        for _, table, to in k.foreign_keys:
+        for _, table, to, *_ in k.foreign_keys:
             if table not in schema.tables or any(n not in schema.tables[table].columns for n in to):
                 out.append(f"{t.name}: a foreign key names an unknown table or column")
         return out
