@@ -12,7 +12,8 @@ anchor make a piece, and pieces are what travels:
 
 Names are 64-bit polynomial hashes with separate bases; a decision needs both, so 128 bits.  Groups are
 counted by partial aggregation and joined back, so a context that a third of all documents hold is a skewed
-join at worst, which Spark splits, and never a list in one task.  Stretches are judged on the input.
+join at worst, which Spark splits, and never a list in one task.  A bit map keeps pieces whose context is not
+repeated out of that join.  Stretches are judged on the input.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .bitmap import bit_map, passing
+from .common import dropped, slices, stored, texts
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses modulo 2**64
@@ -147,28 +149,31 @@ def cells(kind: Kind, grid: int, x: np.ndarray, pieces: np.ndarray) -> Iterator[
         yield _named(names, w, b, lo[i:j], hi[i:j], left, b - c * grid, b - (c * grid + grid - 1) + w, c)
 
 
-def _emit(part: pa.RecordBatch, found: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+KEYS = ("doc_id", "rk")
+
+
+def _emit(part: pa.RecordBatch, found: list[tuple[int, tuple[np.ndarray, ...]]], keys: tuple[str, ...]) -> pa.RecordBatch:
     rows = pa.array(np.concatenate([np.full(len(t[0]), i) for i, t in found]) if found else np.zeros(0, np.int64))
     cols = [np.concatenate([t[c] for _, t in found]) if found else np.zeros(0, np.int64) for c in range(5)]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
     out = {n: pa.array(c).cast(t) for n, c, t in zip(("k", "f", "a", "lo", "hi"), cols, kinds, strict=True)}
-    return pa.RecordBatch.from_pydict(out | {n: part.column(part.schema.get_field_index(n)).take(rows) for n in ("doc_id", "rk")})
+    return pa.RecordBatch.from_pydict(out | {n: part.column(part.schema.get_field_index(n)).take(rows) for n in keys})
 
 
-def _schema(docs: DataFrame) -> str:
-    return f"k long, f long, a int, lo int, hi int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long"
+def _schema(docs: DataFrame, keys: tuple[str, ...]) -> str:
+    return "k long, f long, a int, lo int, hi int" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keys)
 
 
-def _first(docs: DataFrame, kind: Kind) -> DataFrame:
+def _first(docs: DataFrame, kind: Kind, keys: tuple[str, ...]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                yield _emit(part, [(i, t) for i, b in enumerate(texts(part)) for t in first_pieces(kind, kind.units(b))])
+                yield _emit(part, [(i, t) for i, b in enumerate(texts(part)) for t in first_pieces(kind, kind.units(b))], keys)
 
-    return docs.select("doc_id", "rk", "text").mapInArrow(run, _schema(docs))
+    return docs.select(*keys, "text").mapInArrow(run, _schema(docs, keys))
 
 
-def _refined(docs: DataFrame, kind: Kind, grid: int) -> DataFrame:
+def _refined(docs: DataFrame, kind: Kind, grid: int, keys: tuple[str, ...]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -178,57 +183,68 @@ def _refined(docs: DataFrame, kind: Kind, grid: int) -> DataFrame:
                     flat = lists[i].values.flatten()
                     pieces = np.stack([np.asarray(c, np.int64) for c in flat], axis=1)
                     found += [(i, t) for t in cells(kind, grid, kind.units(b), pieces)]
-                yield _emit(part, found)
+                yield _emit(part, found, keys)
 
-    return docs.select("doc_id", "rk", "text", "pieces").mapInArrow(run, _schema(docs))
+    return docs.select(*keys, "text", "pieces").mapInArrow(run, _schema(docs, keys))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return (a["rk"] == b["rk"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+def same_row(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> Column:
+    """Whether rows have one key; only ``doc_id``, the first column, can be null."""
+    out = a[keys[0]].eqNullSafe(b[keys[0]])
+    for c in keys[1:]:
+        out &= a[c] == b[c]
+    return out
 
 
-def find(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """(texts of documents with a shared context, repeated stretches as doc_id, rk, s, e in units).
+def find(docs: DataFrame, kind: Kind, keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """(texts of documents with a shared context; their repeated units: keys, ``units`` of s, n, u).
 
-    ``docs`` is :func:`common.keyed`.  A stretch [s, e) is covered by repeated windows; stretches overlap.
+    ``docs`` has the columns ``keys``, which tell texts apart, and ``text``.  A unit is a run of ``n`` windows, the
+    first of which starts at ``s``, that all repeat; ``u`` names its content.  Units of a document don't overlap
+    in windows.
     """
-    w = kind.width
-    pieces = _first(docs, kind)
+    pieces = stored(_first(docs, kind, keys), "pieces")
     groups = lambda p: p.groupBy("k").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("c > 1").select("k", (F.col("f0") == F.col("f1")).alias("same"))
-    shared = stored(pieces.join(stored(groups(pieces), "contexts"), "k"), "pieces")
-    keys = shared.select("doc_id", "rk").distinct()
-    held = stored(docs.join(keys, same_row(docs, keys), "left_semi"), "texts")
-    hits = []
+    contexts = stored(groups(pieces), "contexts")
+    bits = bit_map(contexts.select(F.col("k").alias("name")))
+    shared = stored(passing(pieces, "k", bits).join(contexts, "k"), "shared")
+    dropped(pieces, contexts)
+    mine = shared.select(*keys).distinct()
+    held = stored(docs.join(mine, same_row(docs, mine, keys), "left_semi").select(*(docs[c] for c in keys), "text").dropDuplicates(list(keys)), "texts")
+    hits, scratch = [], [shared]
     for level in range(len(kind.grids) + 1):
         parted = shared.where(~F.col("same"))
-        stretches = stored(parted.groupBy("k", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rk", "a", "lo", "hi")).alias("one")), "stretches")
+        stretches = stored(parted.groupBy("k", "f").agg(F.count("*").alias("c"), F.min(F.struct(*keys, "a", "lo", "hi")).alias("one")), "stretches")
+        scratch.append(stretches)
         again = stretches.where("c > 1").select("k", "f")
-        hits += [shared.where("same"), parted.join(again, ["k", "f"], "left_semi")]
+        hits += [(level, shared.where("same")), (level, parted.join(again, ["k", "f"], "left_semi"))]
         if level == len(kind.grids):
             break
-        lists = stretches.select("one.*").groupBy("doc_id", "rk").agg(F.collect_set(F.struct("a", "lo", "hi")).alias("pieces"))
-        texts_of = held.dropDuplicates(["doc_id", "rk"])
-        joined = texts_of.join(lists, same_row(texts_of, lists)).select(texts_of["doc_id"], texts_of["rk"], "text", "pieces")
-        pieces = stored(_refined(joined, kind, kind.grids[level]), "cells")
-        shared = pieces.join(groups(pieces), "k")
-        shared = stored(shared, "pieces")
-    spans = [h.select("doc_id", "rk", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + w).alias("e")) for h in hits]
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.union(s)
-    return held, out
-
-
-def span_lists(held: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents that lose something: doc_id, rk, text, ``spans`` (starts and ends); repeated rows once."""
-    lists = spans.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    once = held.dropDuplicates(["doc_id", "rk"])
-    return once.join(lists, same_row(once, lists)).select(once["doc_id"], once["rk"], "text", "spans")
-
-
-def runs(spans: pa.StructArray, gap: int = 0) -> list[tuple[int, int]]:
-    """Maximal covered runs in order."""
-    s, e = (np.asarray(c, np.int64) for c in spans.flatten())
+        lists = stretches.select("one.*").groupBy(*keys).agg(F.collect_set(F.struct("a", "lo", "hi")).alias("pieces"))
+        joined = held.join(lists, same_row(held, lists, keys)).select(*(held[c] for c in keys), "text", "pieces")
+        pieces = stored(_refined(joined, kind, kind.grids[level], keys), "cells")
+        shared = stored(pieces.join(groups(pieces), "k"), "shared")
+        dropped(pieces)
+        scratch.append(shared)
+    out = None
+    for level, h in hits:
+        unit = F.struct((F.col("a") - F.col("hi")).alias("s"), (F.col("hi") - F.col("lo") + 1).alias("n"), F.xxhash64(F.lit(level), "k", "f").alias("u"))
+        h = h.select(*keys, unit.alias("unit"))
+        out = h if out is None else out.union(h)
+    units = stored(out.groupBy(*keys).agg(F.collect_set("unit").alias("units")), "units")
+    dropped(*scratch)
+    return held, units
+
+
+def with_texts(held: DataFrame, lists: DataFrame, column: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Texts with their list."""
+    return held.join(lists, same_row(held, lists, keys)).select(*(held[c] for c in keys), "text", column)
+
+
+def runs(s: np.ndarray, e: np.ndarray, gap: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs that stretches [s, e) cover, in order."""
+    if not len(s):
+        return []
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
     cut = np.flatnonzero(s[1:] > e[:-1] + gap)

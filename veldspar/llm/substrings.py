@@ -1,12 +1,12 @@
 r"""Substring dedup by compacting a De Bruijn graph of word k-mers.
 
-Edges are the 35-word windows of all texts, nodes the 34 words that neighbouring windows share.  A row for
-each edge would be a row for each word of the corpus, so paths are compacted before they travel: windows with
-one minimizer (the least hash among their 11-word runs) make one path, named by its content.  Spark joins then
-compact the repeated part of the graph.  A path whose occurrences agree from end to end does not branch and is
-settled whole; where occurrences part, it is split at finer grids, ending with single edges, and the pieces
-are joined again on their names.  Every path keeps its source coordinates (row, first and last window), and a
-stretch counts as repeated only if two independent 64-bit names of it agree at two coordinates.
+Edges are the 35-word windows of all texts.  A row for each would be a row for each word of the corpus, so windows
+travel as super-k-mers, runs of windows with one minimizer (the least hash among their 11-word runs).  Minimizers
+that occur once have no repeated window and end there; where the windows of one minimizer part, runs are cut to
+finer grids and at last to single k-mers, so that what is left is the repeated part of the graph.  Spark joins count
+its degrees and compact its nonbranching paths (``graph``).  Every path keeps its source coordinates (row, first and
+last word), and the words there are read again: all occurrences of a path must have one digest.  Should they not,
+64-bit names have collided, and all is named anew with another salt.
 
 Defined results for odd input: a null or empty text has no words, loses none and hashes as the empty string;
 repeated rows repeat each other's windows and lose them; a null doc_id is a value like any other; columns
@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repeats
-from .common import keyed, slices, stored, texts
+from . import graph, repeats
+from .common import dropped, free, keyed, slices, stored, texts
 
 WIDTH = 35
+SALTS = 4
 
 
 class _Words(dict):
@@ -41,15 +42,17 @@ _words = _Words()
 
 
 def word_units(text: bytes) -> np.ndarray:
-    return np.array([_words[w] for w in text.split()], np.uint64)
+    return np.fromiter(map(_words.__getitem__, text.split()), np.uint64)
 
 
-def kind(width: int = WIDTH) -> repeats.Kind:
-    return repeats.Kind(width, max(1, width // 3), tuple(g for g in (5, 1) if g <= width), word_units)
+def kind(width: int = WIDTH, salt: int = 0) -> repeats.Kind:
+    units = word_units
+    if salt:
+        units = lambda text: repeats.mix(word_units(text) + np.uint64(salt))
+    return repeats.Kind(width, max(1, width // 3), tuple(g for g in (5, 1) if g <= width), units)
 
 
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
-    words = text.split()
+def _cut(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
     keep, at, gone = [], 0, 0
     for s, e in spans:
         keep += words[at:s]
@@ -85,35 +88,52 @@ def _digest(docs: DataFrame) -> DataFrame:
 
 
 def _removed(lists: DataFrame) -> DataFrame:
+    """Texts without the words of their spans, and what the words of each span hash to."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 spans = part.column(part.schema.get_field_index("spans"))
-                got = [(_cut(t, r), _cut_text(t, r)) for t, r in ((t, repeats.runs(spans[i].values)) for i, t in enumerate(texts(part)))]
+                got = []
+                for i, t in enumerate(texts(part)):
+                    path, s, e = (np.asarray(c, np.int64) for c in spans[i].values.flatten())
+                    words, gone = t.split(), repeats.runs(s, e)
+                    said = [hashlib.blake2b(b" ".join(words[x:y]), digest_size=16).digest() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+                    keep, n = _cut(words, gone)
+                    got.append((n, hashlib.sha256(b" ".join(keep)).hexdigest(), _cut_text(t, gone), [{"path": p, "said": x} for p, x in zip(path.tolist(), said, strict=True)]))
                 cols = {n: part.column(part.schema.get_field_index(n)) for n in ("doc_id", "rk")}
                 yield pa.RecordBatch.from_pydict(cols | {
-                    "n_removed": pa.array([n for (_, n), _ in got], pa.int64()),
-                    "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for (k, _), _ in got],
-                    "kept_text": pa.array([t.decode("utf-8", "replace") for _, t in got], pa.string()),
+                    "n_removed": pa.array([g[0] for g in got], pa.int64()),
+                    "kept_sha256": [g[1] for g in got],
+                    "kept_text": pa.array([g[2].decode("utf-8", "replace") for g in got], pa.string()),
+                    "sources": pa.array([g[3] for g in got], pa.list_(pa.struct([("path", pa.int64()), ("said", pa.binary())]))),
                 })
 
-    return lists.mapInArrow(run, f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, rk long, n_removed long, kept_sha256 string, kept_text string")
+    return lists.mapInArrow(run, f"doc_id {lists.schema['doc_id'].dataType.simpleString()}, rk long, n_removed long, kept_sha256 string, kept_text string, sources array<struct<path:long,said:binary>>")
 
 
 def removed(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, one row for each key that loses words: n_removed, kept_sha256, kept_text)."""
     docs = keyed(docs)
-    held, spans = repeats.find(docs, kind(width))
-    return docs, stored(_removed(repeats.span_lists(held, spans)), "removed")
+    for salt in range(SALTS):
+        held, units = repeats.find(docs, kind(width, salt))
+        out = stored(_removed(repeats.with_texts(held, graph.compacted(units, width, repeats.KEYS), "spans")), "removed")
+        dropped(held, units)
+        said = out.select(F.explode("sources").alias("x")).groupBy("x.path").agg(F.min("x.said").alias("a"), F.max("x.said").alias("b"))
+        if not said.where("a <> b").limit(1).count():
+            return docs, out.drop("sources")
+        dropped(out)
+    raise RuntimeError(f"names of different words collide under {SALTS} salts")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the text that stays (and n_chars where there is such a column)."""
-    k = docs.withColumn("rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rk, left = free(docs, "rk"), free(docs, "kept_text")
+    k = docs.withColumn(rk, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     _, cut = removed(docs, width)
-    cut = cut.select("doc_id", "rk", "kept_text")
-    out = k.join(cut, repeats.same_row(k, cut), "left").select(k["*"], cut["kept_text"])
-    text = F.coalesce("kept_text", "text")
+    cut = cut.select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("kept_text").alias(left))
+    out = k.join(cut, (k[rk] == cut["r"]) & k["doc_id"].eqNullSafe(cut["d"]), "left").select(k["*"], cut[left])
+    text = F.coalesce(left, "text")
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(new).select(docs.columns)
 
