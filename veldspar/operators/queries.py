@@ -7,6 +7,7 @@ dialects agree the text itself is the twin.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ COLUMNS = {
 }
 
 
+@lru_cache(maxsize=16)
 def schema(root: str) -> Schema:
     files = FileProvider(root)
     b = SchemaBuilder()

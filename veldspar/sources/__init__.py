@@ -113,13 +113,22 @@ class Provider:
 
 
 class FileProvider(Provider):
-    """Files below a folder: Parquet by default; filters and columns are pushed into the scan."""
+    """Files below a folder: Parquet by default; filters and columns are pushed into the scan.
+
+    An entity's schema is read from its files once, so a query doesn't start with a job for each of its relations.
+    """
 
     def __init__(self, root: str, name: str = "files", format: str = "parquet", suffix: str | None = None, **options):
         self.root, self.name, self.format, self.suffix, self.options = root.rstrip("/"), name, format, f".{format}" if suffix is None else suffix, options
+        self._schemas: dict[str, T.StructType] = {}
 
     def read(self, spark: SparkSession, name: str, context: Any) -> DataFrame:
-        return spark.read.format(self.format).options(**self.options).load(f"{self.root}/{name}{self.suffix}")
+        reader = spark.read.format(self.format).options(**self.options)
+        if name in self._schemas:
+            reader = reader.schema(self._schemas[name])
+        rows = reader.load(f"{self.root}/{name}{self.suffix}")
+        self._schemas.setdefault(name, rows.schema)
+        return rows
 
 
 class MemoryProvider(Provider):
