@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op3_pages": pages.SQL,
+    "op4_suffixes": suffixes.SQL,
     "op6_minhash": minhash.SQL,
     "op7_substrings": substrings.SQL,
     "op10_quality_rules": quality.SQL,
