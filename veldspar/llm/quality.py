@@ -31,6 +31,19 @@ BOILERPLATE = (
     "click here to subscribe",
     "share this article",
     "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "newsletter abonnieren",
+    "zum inhalt springen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions générales",
+    "aller au contenu",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
+    "saltar al contenido",
 )
 
 
@@ -85,14 +98,17 @@ def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` that the rules keep, with the lines that passed as text (and n_chars where there is such a column)."""
+    # The caller's columns go in one struct, out of the way of the names of the measures.
+    more = [c for c in docs.columns if c != "text"]
+    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in more]).alias("__row")) if more else docs.select("text")
     # A filter would be pushed through all the steps, copying their expressions into each other without end;
     # one that needs a row number stays where it is.
-    found = measured(docs, rules).withColumn("__at", F.monotonically_increasing_id())
+    found = measured(row, rules).withColumn("__at", F.monotonically_increasing_id())
     found = found.where(F.col("kept") & (F.col("__at") >= 0))
     new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def _split(line: Column) -> Column:
