@@ -173,8 +173,6 @@ def _held_against_pivots(members: DataFrame, held: DataFrame, words: int, thresh
     counts = stored(beyond.groupBy("y", "e").agg(F.count("*").alias("k"), F.max("stray").alias("any")).where("k > 1"), "beyond")
     common = beyond.join(counts.where(F.col("k") >= COMMON).select("y", "e"), ["y", "e"]).groupBy("y", "x").agg(F.count("*").alias("common"))
     rare = beyond.join(counts.where((F.col("k") < COMMON) & F.col("any")).select("y", "e"), ["y", "e"])
-    pairs = rare.where("stray").select("y", "e", "x").join(rare.select("y", "e", F.col("x").alias("z")), ["y", "e"]).where("x <> z")
-    pairs = stored(pairs.select(F.least("x", "z").alias("x"), F.greatest("x", "z").alias("y"), F.lit(False).alias("many")).distinct(), "rare-pairs")
     least = found.where(similar(FAR)).groupBy("y").agg(F.least(F.min("n"), F.min("np")).alias("least"))
     told = found.withColumn("beyond", F.when(F.col("more").isNotNull(), F.size("more")).otherwise(0)).drop("more").join(common, ["y", "x"], "left").join(least, "y", "left")
     told = told.withColumn("c", F.col("n") - F.col("beyond") + F.coalesce("common", F.lit(0)))
@@ -182,8 +180,14 @@ def _held_against_pivots(members: DataFrame, held: DataFrame, words: int, thresh
     other = F.greatest("least", F.ceil(threshold * F.col("n") / 100), "c")
     # Only these have been counted whole.
     told = told.withColumn("known", similar(near) & F.col("least").isNotNull())
-    told = told.withColumn("done", F.col("known") & ~_similar(F.col("c"), F.col("n"), other, threshold)).withColumn("c", F.when(F.col("known"), F.col("c")).otherwise(F.col("n")))
-    told = stored(told.select("x", "y", similar(threshold).alias("linked"), "c", "done"), "told")
+    told = told.withColumn("done", F.col("known") & ~_similar(F.col("c"), F.col("n"), other, threshold)).withColumn("all", F.col("c")).withColumn("c", F.when(F.col("known"), F.col("c")).otherwise(F.col("n")))
+    told = stored(told.select("x", "y", similar(threshold).alias("linked"), "n", "all", "c", "done"), "told")
+    # Members of a pair share at most what c bounds and the rare shingles that both hold.
+    shared = rare.where("stray").select("y", "e", "x").join(rare.select("y", "e", F.col("x").alias("z")), ["y", "e"]).where("x <> z").groupBy("y", "x", "z").agg(F.count("*").alias("h"))
+    own = told.select("y", "x", F.col("n").alias("nx"), F.col("all").alias("cx"))
+    shared = shared.join(own, ["y", "x"]).join(own.select("y", F.col("x").alias("z"), F.col("nx").alias("nz"), F.col("cx").alias("cz")), ["y", "z"])
+    shared = shared.where(_similar(F.least("cx", "cz") + F.col("h"), F.col("nx"), F.col("nz"), threshold))
+    pairs = stored(shared.select(F.least("x", "z").alias("x"), F.greatest("x", "z").alias("y"), F.lit(False).alias("many")).distinct(), "rare-pairs")
     dropped(found, counts)
     bound = told.select(F.col("x").alias("cid"), F.col("y").alias("p"), F.col("c").alias("k"), "done")
     left = members.drop("c").join(pivots.where("c > 2").select("b", "p"), "b").join(bound, ["cid", "p"], "left").where(~F.coalesce("done", F.lit(False)))

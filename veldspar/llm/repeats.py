@@ -122,7 +122,8 @@ def first_pieces(kind: Kind, x: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _named(names: Names, w: int, a, lo, hi, begin: int, c0, c1, cell) -> tuple[np.ndarray, ...]:
-    k = mix(names.of(0, c0, c1) + U(0xA24BAED4963EE407) * cell.astype(U))
+    # Anchors are least hashes of contexts; mixed once more, their names spread evenly again.
+    k = mix(mix(names.of(0, c0, c1) + U(0xA24BAED4963EE407) * cell.astype(U)) ^ U(0x94D049BB133111EB))
     f = mix(names.of(1, a - hi, a - lo + w) + U(0x9FB21C651E98DF25) * (lo << 32 | hi).astype(U))
     return k.view(np.int64), f.view(np.int64), a + begin, lo, hi
 
