@@ -14,6 +14,9 @@ few pages for entropies, an article (or main) element with more than half of the
 Counts are aggregated by (host, path, content) before and after the shuffle, so a host with a third of all pages is no
 list in one task.  The furniture of all hosts is broadcast if its size, which is checked, is small; else joined.
 
+Parsing is linear in a page's size: a style path is a number made from its parent's, texts are counted from the leaves
+up, and searches that found no end tag are not made again.
+
 Defined results for odd input: a null or empty page gives empty text; broken markup is read as far as it goes; a null
 url counts as a host of its own; repeated rows give equal rows; columns besides those named are not read.
 """
@@ -21,6 +24,8 @@ url counts as a host of its own; repeated rows give equal rows; columns besides
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -33,11 +38,11 @@ from .common import slices, stored, texts
 MIN_PAGES = 5
 LOW = 0.2
 MAIN = 10
-BROADCAST_CHARS = 8_000_000
+BROADCAST_BYTES = 8_000_000
 
 #: HTML's own vocabulary. Fixed values.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math select head title canvas audio video button noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg select head title button noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav header footer aside form dialog menu search fieldset".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
@@ -47,25 +52,42 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 #: Words of class and id names that mark furniture.
 NOISE_WORDS = frozenset("""
 ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner banners
-nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc
-header masthead topbar footer footnotes bottom sidebar sidebars aside rail widget widgets related recommended recommendations more
-cookie cookies consent gdpr notice notices popup modal overlay alert disclaimer legal copyright
-comment comments commentlist disqus replies respond discussion reviews
-share sharing social follow subscribe subscription newsletter signup login search form
+nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager
+header masthead topbar footer sidebar sidebars aside widget widgets
+cookie cookies consent gdpr notice notices popup modal alert disclaimer copyright
+comment comments commentlist disqus replies respond
+share sharing social subscribe subscription newsletter signup login search form
 """.split())
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTR = re.compile(r"""(?:^|\s)(class|id|role)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _PART = re.compile(r"[^a-z]+")
 _SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "marks", "inside")
+    """An open element; ``path`` is the number of its style path, ``mark`` the innermost element around it that names itself furniture."""
+
+    __slots__ = ("tag", "path", "mark", "inside")
+
+    def __init__(self, tag: str, path: int, mark: _Mark | None, inside: bool):
+        self.tag, self.path, self.mark, self.inside = tag, path, mark, inside
+
+
+class _Mark:
+    """``firm``: whether any of it and those around it says so by more than a form, a class or an id."""
+
+    __slots__ = ("up", "firm", "at")
 
-    def __init__(self, tag: str, path: str, marks: tuple[tuple[int, bool], ...], inside: bool):
-        #: ``marks``: (number, whether it may be wrong) of each element around it that names itself furniture.
-        self.tag, self.path, self.marks, self.inside = tag, path, marks, inside
+    def __init__(self, up: _Mark | None, firm: bool, at: int):
+        self.up, self.firm, self.at = up, firm or bool(up and up.firm), at
+
+
+ROOT = 0
+
+
+def _path(up: int, key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key, seed=up) - (1 << 63)
 
 
 def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
@@ -77,8 +99,6 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
         name, value = name.lower(), unescape(value.strip("\"'"))
         if name == "role":
             firm |= value.strip().lower() in NOISE_ROLES
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            firm = True
         elif name in ("class", "id"):
             key += ("." if name == "class" else "#") + ".".join(sorted(re.sub(r"\d+", "0", v) for v in value.split()))
             if tag not in ("html", "body", "main", "article") and not (inside and tag in TEXT_TAGS):
@@ -86,10 +106,19 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
     return key, firm or soft, not firm
 
 
-def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
-    """Text blocks in page order with the node each stands in, and the child styles of each path."""
-    root = _Node("", "", (), False)
-    stack, out, children = [root], [], {}
+class Page:
+    """Text blocks in page order with the node each stands in, and the style paths they hang from."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[_Node, str]] = []
+        self.up: dict[int, int] = {}  # in the order of their first element, so that parents come before children
+        self.children: dict[int, list[str]] = {}
+        self.marks: list[_Mark] = []
+
+
+def blocks(html: str) -> Page:
+    page, root = Page(), _Node("", ROOT, None, False)
+    stack, open_, endless = [root], Counter(), set()
     held: list[str] = []
 
     def flush():
@@ -97,7 +126,12 @@ def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((stack[-1], text))
+                page.blocks.append((stack[-1], text))
+
+    def close(i: int):
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
 
     at, find = 0, _TOKEN.search
     while True:
@@ -113,9 +147,13 @@ def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            if attrs.endswith("/") and tag in ("svg", "math"):
+            if attrs.endswith("/") and tag == "svg":
                 continue
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, at)
+            end = None
+            if tag not in endless:
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at) if tag != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, at)
+                if not end:
+                    endless.add(tag)
             if tag == "head" and end and end.group()[1] != "/":
                 at = end.start()
             else:
@@ -128,51 +166,64 @@ def blocks(html: str) -> tuple[list[tuple[_Node, str]], dict[str, list[str]]]:
                 held.append(" ")
         elif closing:
             flush()
-            if tag == "p" or any(n.tag == tag for n in stack):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+            if open_[tag]:
+                close(next(i for i in _backwards(stack) if stack[i].tag == tag))
         else:
             flush()
-            _close_before(stack, tag)
+            _close_before(stack, tag, open_, close)
             up = stack[-1]
             key, noise, soft = _style(tag, attrs, up.inside)
-            node = _Node(tag, f"{up.path}>{key}", up.marks + ((at, soft),) * noise, up.inside or tag in ("article", "main"))
-            children.setdefault(up.path, []).append(key)
+            mark = up.mark
+            if noise:
+                mark = _Mark(mark, not soft, len(page.marks))
+                page.marks.append(mark)
+            node = _Node(tag, _path(up.path, key), mark, up.inside or tag in ("article", "main"))
+            page.up.setdefault(node.path, up.path)
+            page.children.setdefault(up.path, []).append(key)
             if tag not in VOID:
                 stack.append(node)
+                open_[tag] += 1
     flush()
-    return out, children
+    return page
 
 
-def _close_before(stack: list[_Node], tag: str) -> None:
+def _backwards(stack: list[_Node]) -> Iterator[int]:
+    return iter(range(len(stack) - 1, 0, -1))
+
+
+def _close_before(stack: list[_Node], tag: str, open_: Counter, close: Callable[[int], None]) -> None:
     """End tags that a start tag implies."""
-    if stack[-1].tag == "p" or tag not in CLOSES:
-        for i in range(len(stack) - 1, 0, -1):
+    if open_["p"] and (stack[-1].tag == "p" or tag not in CLOSES):
+        for i in _backwards(stack):
             if stack[i].tag == "p":
-                del stack[i:]
+                close(i)
                 break
             if stack[i].tag in ("td", "th", "table", "div", "article", "section", "li", "body"):
                 break
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in SCOPES.get(tag, ()):
+    if not any(open_[t] for t in CLOSES.get(tag, ())):
+        return
+    for i in _backwards(stack):
+        if stack[i].tag in SCOPES[tag]:
             break
-        if stack[i].tag in CLOSES.get(tag, ()):
-            del stack[i:]
+        if stack[i].tag in CLOSES[tag]:
+            close(i)
             break
 
 
-def extract(html: str, furniture: frozenset[str] = frozenset(), judged: bool = False) -> str:
+def extract(html: str, furniture: frozenset[int] = frozenset(), judged: bool = False) -> str:
     """Main text of one page, given its host's low-importance style paths, if the host has pages enough to be judged."""
-    found = unmarked(blocks(html)[0])
+    page = blocks(html)
+    found = unmarked(page)
     if furniture:
-        under = [_under(n.path, furniture) for n, _ in found]
-        size: dict[str, int] = {}
-        for (_, t), path in zip(found, under, strict=True):
-            size[path] = size.get(path, 0) + len(t)
+        # The outermost low branch that each path lies under; parents come first.
+        under: dict[int, int | None] = {ROOT: None}
+        for path, up in page.up.items():
+            under[path] = under[up] if under[up] is not None else path if path in furniture else None
+        size: Counter = Counter()
+        for n, t in found:
+            size[under[n.path]] += len(t)
         half = sum(size.values()) / 2
-        found = [x for x, path in zip(found, under, strict=True) if not path or size[path] > half]
+        found = [(n, t) for n, t in found if (low := under[n.path]) is None or size[low] > half]
     if not judged:
         inside = [(n, t) for n, t in found if n.inside]
         if 2 * sum(len(t) for _, t in inside) > sum(len(t) for _, t in found):
@@ -180,32 +231,28 @@ def extract(html: str, furniture: frozenset[str] = frozenset(), judged: bool = F
     return "\n".join(t for _, t in found)
 
 
-def unmarked(found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+def unmarked(page: Page) -> list[tuple[_Node, str]]:
     """Blocks outside elements that name themselves furniture; names that would take the main text go for nothing."""
     wrong: set[int] = set()
     while True:
-        left = [(n, t) for n, t in found if all(m in wrong for m, _ in n.marks)]
-        size: dict[int, int] = {}
-        for n, t in found:
-            outer = next(((m, soft) for m, soft in n.marks if m not in wrong), None)
-            if outer and outer[1] and all(soft for _, soft in n.marks):
-                size[outer[0]] = size.get(outer[0], 0) + len(t)
+        outer: list[_Mark | None] = []  # by mark: the outermost around it that counts
+        for mark in page.marks:
+            above = outer[mark.up.at] if mark.up else None
+            outer.append(above or (None if mark.at in wrong else mark))
+        left, size = [], Counter()
+        for n, t in page.blocks:
+            top = outer[n.mark.at] if n.mark else None
+            if top is None:
+                left.append((n, t))
+            elif not n.mark.firm:
+                size[top.at] += len(t)
+        most = MAIN * sum(len(t) for _, t in left)
         largest = max(size, key=size.__getitem__, default=None)
-        if largest is None or size[largest] <= MAIN * sum(len(t) for _, t in left):
+        if largest is None or size[largest] <= most:
             return left
         wrong.add(largest)
 
 
-def _under(path: str, furniture: frozenset[str]) -> str:
-    """The shortest path in ``furniture`` that the path lies under, or an empty one."""
-    out = ""
-    while path:
-        if path in furniture:
-            out = path
-        path = path.rpartition(">")[0]
-    return out
-
-
 def _host() -> Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -219,27 +266,30 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            held: dict[tuple[str, str, int, int, int], None] = {}
+            held: dict[tuple[str, int, int, int, int], None] = {}
             for part in slices(batch, "html"):
                 hosts = part.column(part.schema.get_field_index("host")).to_pylist()
                 for host, b in zip(hosts, texts(part, "html"), strict=True):
-                    found, children = blocks(b.decode("utf-8", "replace"))
-                    said: dict[str, list[str]] = {}
-                    found = unmarked(found)
-                    for node, text in found:
-                        path = node.path
-                        while path:
-                            said.setdefault(path, []).append(text)
-                            path = path.rpartition(">")[0]
+                    page = blocks(b.decode("utf-8", "replace"))
+                    found = unmarked(page)
                     whole = _name(text for _, text in found)
-                    for path, lines in said.items():
-                        if len(lines) < len(found):
-                            held[host, path, _name(children.get(path, ())), _name(lines), whole] = None
+                    # What stands under each path: how many blocks, and a sum over them that tells contents apart.
+                    many, content = Counter(), Counter()
+                    for node, text in found:
+                        many[node.path] += 1
+                        content[node.path] += xxhash.xxh3_64_intdigest(text)
+                    for path in reversed(page.up):
+                        if many[path]:
+                            many[page.up[path]] += many[path]
+                            content[page.up[path]] += content[path]
+                    for path in page.up:
+                        if 0 < many[path] < len(found):
+                            held[host, path, _name(page.children.get(path, ())), content[path] % (1 << 64) - (1 << 63), whole] = None
             cols = list(zip(*held, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string()), "path": pa.array(cols[1], pa.string())} | {c: pa.array(x, pa.int64()) for c, x in zip(("shape", "content", "whole"), cols[2:], strict=True)})
+            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {c: pa.array(x, pa.int64()) for c, x in zip(("path", "shape", "content", "whole"), cols[1:], strict=True)})
 
     key = ["host", "path", "shape", "content"]
-    found = pages.select("host", "html").mapInArrow(run, "host string, path string, shape long, content long, whole long")
+    found = pages.select("host", "html").mapInArrow(run, "host string, path long, shape long, content long, whole long")
     return found.distinct().groupBy(*key).agg(F.count("*").alias("c"))
 
 
@@ -271,12 +321,12 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     low_paths = stored(furniture(pages, min_pages, low), "furniture")
-    size = low_paths.agg(F.coalesce(F.sum(F.expr("aggregate(paths, 0L + length(host), (n, p) -> n + length(p))")), F.lit(0))).first()[0]
-    sent = spark.sparkContext.broadcast({r.host: frozenset(r.paths) for r in low_paths.collect()}) if size <= BROADCAST_CHARS else None
+    size = low_paths.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("paths")), F.lit(0))).first()[0]
+    sent = spark.sparkContext.broadcast({r.host: frozenset(r.paths) for r in low_paths.collect()}) if size <= BROADCAST_BYTES else None
     if sent is None:
         pages = pages.join(low_paths, "host", "left")
     else:
-        pages = pages.withColumn("paths", F.lit(None).cast("array<string>"))
+        pages = pages.withColumn("paths", F.lit(None).cast("array<long>"))
 
     def run(batches):
         known = sent.value if sent is not None else None
