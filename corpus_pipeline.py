@@ -1,7 +1,13 @@
 """Corpus pipeline: five stages, each one operator over all rows that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet into the shared folder
-and read back as the next stage's documents.  All but the last return the columns of ``documents``.
+and read back as the next stage's documents; what a stage stored on its way goes when its result is written.  All but
+the last return the columns of ``documents``.
+
+Defined results for odd input: a null or empty text has no 50 words, so the rules reject it; a null doc_id is a value
+like any other and never speaks for a group that has another id; of repeated rows one stays; a caller's further
+columns, whatever their names, keep their values; very long texts are worked on whole; ties go to the least doc_id;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.llm import bpe, decontaminate, minhash, quality, substrings
-from veldspar.llm.common import stored, table
+from veldspar.llm.common import dropped, scratch, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            done = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        dropped(docs)
+        docs = done
     return docs

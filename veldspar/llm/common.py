@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table stays until :func:`dropped` or :func:`cleaned_up`, as results that are not written yet may read it.
+    The table stays until :func:`dropped`, as results that are not written yet may read it, or, without ``keep``,
+    until the :func:`scratch` around it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldspar/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
@@ -51,6 +55,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 _paths: dict[int, str] = {}
+_scopes: list[list[str]] = []
 
 
 def dropped(*tables: DataFrame | None) -> None:
@@ -60,15 +65,17 @@ def dropped(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
-def cleaned_up(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all tables that this application stored, but ``keep``; call it when results are written."""
-    root = f"{shared_dir(spark)}/veldspar/{spark.sparkContext.applicationId}"
-    kept = _paths.get(id(keep), "").rpartition("/")[2]
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    for each in fs.listStatus(at) if fs.exists(at) else ():
-        if each.getPath().getName() != kept:
-            fs.delete(each.getPath(), True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside go at the end, so write or keep the result before."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
