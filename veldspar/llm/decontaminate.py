@@ -9,7 +9,8 @@ as many, so nothing within the budget is lost.
 Both sides are lower-cased and their white space collapsed.  Items are the stated query set: they are held in
 blocks of at most ``block`` characters (a proven bound for what is broadcast), each block against all rows.
 
-Items with fewer than ``LEAST`` characters match whole and unchanged only, at word boundaries.
+Items of fewer than ``LONG`` characters are searched with q-grams half as long, so that the bound bears the same rate
+of edits; those of fewer than ``LEAST`` match whole and unchanged only, at word boundaries.
 
 Defined results for odd input: null and empty texts match nothing; equal items each match; repeated rows match alike and give one row each
 for an item; a null doc_id or item_id is kept as it is; columns besides id and text are not read.
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import free, slices, stored, texts
 from .repeats import mix, same_row
 
 Q = 8
 RATE = 0.1  # edits for each character of an item
 LEAST = 24
+LONG = 64
 BLOCK = 4_000_000
 CHUNK = 1 << 18  # characters of text worked on at once
 U = np.uint64
@@ -47,27 +49,29 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def grams(c: np.ndarray) -> np.ndarray:
+def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of the q-grams; q is a power of two."""
     h = c.astype(U)
     size, base = 1, 0x9E3779B97F4A7C15
-    while size < Q:
+    while size < q:
         h = h[:-size] * U(pow(base, size, 1 << 64)) + h[size:] if len(h) > size else h[:0]
         size *= 2
     return mix(h)
 
 
 class Index:
-    """One block of items."""
+    """Items that are searched with one length of q-grams."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, q: int = Q):
+        self.q = q
         self.ids = [i for i, _ in items]
         self.text = [points(t) for _, t in items]
         n = np.array([len(t) for t in self.text], np.int64)
         # At least five shared q-grams must be left, so short items have smaller budgets.
-        self.budget = np.maximum(0, np.minimum((n * rate).astype(np.int64), (n - Q + 1 - 5) // Q))
-        self.bound = n - Q + 1 - self.budget * Q
+        self.budget = np.maximum(0, np.minimum((n * rate).astype(np.int64), (n - q + 1 - 5) // q))
+        self.bound = n - q + 1 - self.budget * q
         self.width = np.maximum(16, self.budget)
-        found = [grams(t) if len(t) >= LEAST else grams(t)[:0] for t in self.text]
+        found = [grams(t, q) if len(t) >= LEAST else grams(t, q)[:0] for t in self.text]
         self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
         for i, (_, t) in enumerate(items):
             if len(t) < LEAST:
@@ -92,7 +96,7 @@ class Index:
 
     def regions(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first and last diagonal) of bands with enough shared q-grams."""
-        h = grams(c)
+        h = grams(c, self.q)
         j = np.flatnonzero(self.map[(h >> U(42)).astype(np.int64)])
         if not len(j) or not len(self.hash):
             return
@@ -174,6 +178,20 @@ class Index:
                     yield parts[p][0], i, got[0], parts[p][1] + got[1]
 
 
+class Block:
+    """Items of any length."""
+
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE):
+        long = [i for i, (_, t) in enumerate(items) if not LEAST <= len(t) < LONG]
+        short = [i for i, (_, t) in enumerate(items) if LEAST <= len(t) < LONG]
+        self.ids = [i for i, _ in items]
+        self.parts = [(at, Index([items[i] for i in at], rate, q)) for at, q in ((long, Q), (short, Q // 2)) if at]
+
+    def matches(self, docs: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        for at, index in self.parts:
+            yield from ((d, at[i], edits, end) for d, i, edits, end in index.matches(docs))
+
+
 def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
@@ -221,23 +239,24 @@ def matched(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-_made: dict[str, Index] = {}
+_made: dict[str, Block] = {}
 
 
-def _index(sent) -> Index:
+def _index(sent) -> Block:
     """The index of a block, made once in each worker; the key travels with the block, as addresses are used again."""
     key, items, rate = sent.value
     if key not in _made:
         _made.clear()
-        _made[key] = Index(items, rate)
+        _made[key] = Block(items, rate)
     return _made[key]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    k = docs.withColumn("rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    bad = stored(matched(docs, benchmark, rate).select("doc_id", "rk").distinct(), "leaks")
-    return k.join(bad, same_row(k, bad), "left_anti").select(docs.columns)
+    rk = free(docs, "rk")
+    k = docs.withColumn(rk, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    bad = stored(matched(docs, benchmark, rate).select("doc_id", F.col("rk").alias(rk)).distinct(), "leaks")
+    return k.join(bad, same_row(k, bad, ("doc_id", rk)), "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
