@@ -8,10 +8,11 @@ context is kept if the whole distribution gains ``GAIN`` nats.  The root is the
 token is scored by the longest kept suffix of what stands before it in its text.
 
 The tree is a table.  A token's log ratio to the root is a sum of what its last one, two and three words add, as a listed
-successor or as a context, so a row of the tree is a word sequence and its weight, and a text's score is a join.  What is
-broadcast has a fixed size and decides nothing: the ``HEAD`` most frequent words and up to ``HOT`` most frequent sequences,
-which would be hot keys of joins, and a bit map that says of most sequences that they are in no table (a full one says
-less and costs time only).  Words outside the head, and sequences, are told apart by 64-bit names.
+successor or as a context, so a row of the tree is a word sequence and its weight, and a text's score is a join.  Texts
+are coded as word names once.  What is broadcast has a fixed size and decides nothing: the ``HEAD`` most frequent words and
+up to ``HOT`` most frequent sequences, which would be hot keys of joins, and a bit map that says of most sequences that
+they are in no table (a full one says less and costs time only).  Words and sequences are told apart by names of 63 and
+64 bits.
 
 Defined results for odd input: a null or empty text is the end token alone; a null doc_id counts as the text
 'null' for the split and is kept as it is; repeated rows are counted and scored one by one; columns besides
@@ -26,16 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .bitmap import bit_map, marked
+from .common import dropped, slices, stored, texts
 from .repeats import mix
 
-LEAST = 2  # one occurrence, left out, says nothing
+LEAST = 3  # one occurrence is left out, and what is then left should be no single sighting
 GAIN = 8.0
 STEP = 4.0
 DISCOUNT = 0.75
-HEAD = 65_536
+HEAD = 1 << 18
 HOT = 1 << 19
-SEGMENT = 1 << 19  # bits in each of the 256 parts of a bit map
 END_WORD = b"\r"  # no word holds white space
 
 
@@ -46,46 +47,114 @@ def held_out(doc_id: Column) -> Column:
 # -- counting ----------------------------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows, the end token among them."""
+def _id(word: bytes) -> int:
+    """A word's name: negative, so that ranks can stand for the most frequent ones."""
+    return (xxhash.xxh3_64_intdigest(word) | 1 << 63) - (1 << 64)
+
+
+END = _id(END_WORD)
+
+
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        name = _id(word)
+        if len(self) < 300_000:
+            self[word] = name
+        return name
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id, rk, train and the names of all tokens as 64-bit integers, the end token among them."""
+
+    def run(batches):
+        get = _Ids().__getitem__
+        for batch in batches:
+            for part in slices(batch):
+                codes = [np.fromiter(map(get, [*t.lower().split(), END_WORD]), np.int64).tobytes() for t in texts(part)]
+                yield pa.RecordBatch.from_pydict({c: part.column(part.schema.get_field_index(c)) for c in ("doc_id", "rk", "train")} | {"ids": pa.array(codes, pa.binary())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "rk", "train", "text").mapInArrow(run, f"doc_id {kind}, rk long, train boolean, ids binary")
+
+
+def word_counts(codes: DataFrame) -> DataFrame:
+    """(id, c) over all tokens."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
-        get = held.get
+        held, size = [], 0
         for batch in batches:
-            for text in texts(batch):
-                for w in text.lower().split():
-                    held[w] = get(w, 0) + 1
-                held[END_WORD] = get(END_WORD, 0) + 1
-                if len(held) > 400_000:
+            for b in batch.column(0).to_pylist():
+                held.append(np.frombuffer(b, np.int64))
+                size += len(held[-1])
+                if size > 1_500_000:
                     yield _counted(held)
-                    held.clear()
-        yield _counted(held)
+                    held, size = [], 0
+        if held:
+            yield _counted(held)
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return codes.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
 
 
-def _counted(held: dict[bytes, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()), "c": pa.array(held.values(), pa.int64())})
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    ids, c = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_pydict({"id": pa.array(ids), "c": pa.array(c.astype(np.int64))})
 
 
-class _Ids(dict):
-    """Head words by rank from 1; other words by a negative name."""
+class Table:
+    """Sorted names, found by their leading bits; the names are spread evenly, so a few steps are enough."""
 
-    def __missing__(self, word: bytes) -> int:
-        name = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
-        if len(self) < 400_000:
-            self[word] = name
-        return name
+    BITS = 18
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        heads = np.arange((1 << self.BITS) + 1, dtype=np.float64) * 2.0 ** (64 - self.BITS)
+        self.first = np.searchsorted(names, heads[:-1].astype(np.uint64)).astype(np.int64)
+        self.first = np.append(self.first, len(names))
+
+    def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of names, and which are there."""
+        if not len(self.names):
+            return np.zeros(len(name), np.int64), np.zeros(len(name), bool)
+        head = (name >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        held = self.names[np.minimum(at, len(self.names) - 1)]
+        ok = (held == name) & (at < end)
+        rest = np.flatnonzero((held < name) & (at + 1 < end))
+        step = 0
+        while len(rest):
+            step += 1
+            place = at[rest] + step
+            held, wanted = self.names[place], name[rest]
+            hit = held == wanted
+            at[rest[hit]] = place[hit]
+            ok[rest[hit]] = True
+            rest = rest[(held < wanted) & (place + 1 < end[rest])]
+        return at, ok
 
 
-def _coded(lists: list[list[bytes]], ids: _Ids) -> np.ndarray:
-    """Word ids; two zeros before each text, so that no sequence crosses texts."""
-    out: list[int] = []
-    for ws in lists:
-        out += (0, 0)
-        out += map(ids.__getitem__, ws)
-    return np.array(out, np.int64)
+class Head:
+    """The most frequent words: names to ranks from 1."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((ids, -counts))
+        self.counts = np.concatenate([[0], counts[order]])
+        names = mix(ids[order].view(np.uint64))
+        by_name = np.argsort(names)
+        self.table, self.ranks = Table(names[by_name]), by_name + 1
+
+    def ranked(self, ids: np.ndarray) -> np.ndarray:
+        """Ranks of head words; zeros and the names of other words stay."""
+        at, ok = self.table.find(mix(ids.view(np.uint64)))
+        ok &= ids < 0
+        return np.where(ok, self.ranks[np.minimum(at, len(self.ranks) - 1)], ids) if len(self.ranks) else ids
+
+
+def _joined(part: pa.RecordBatch, head: Head) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a batch of texts, two zeros before each, so that no sequence crosses texts; and the texts' lengths."""
+    codes = [np.frombuffer(b, np.int64) for b in part.column(part.schema.get_field_index("ids")).to_pylist()]
+    gap = np.zeros(2, np.int64)
+    out = np.concatenate([x for c in codes for x in (gap, c)]) if codes else gap[:0]
+    return head.ranked(out), np.array([len(c) for c in codes], np.int64)
 
 
 def _name(*words: np.ndarray) -> np.ndarray:
@@ -106,28 +175,28 @@ def _sequences(a: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return first + n - 1, [a[first + k] for k in range(n)]
 
 
-def counted(docs: DataFrame, head, n: int, pairs=None) -> DataFrame:
+def counted(codes: DataFrame, head, n: int, pairs=None) -> DataFrame:
     """(u, v, w, c), or without w, of all sequences of n words seen ``LEAST`` times."""
     names = ["u", "v", "w"][:n]
 
     def run(batches):
-        ids = _Ids(head.value)
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch):
-                words = _sequences(_coded([t.lower().split() + [END_WORD] for t in texts(part)], ids), n)[1]
+            for part in slices(batch, "ids", 4 << 20):
+                words = _sequences(_joined(part, head.value)[0], n)[1]
                 if pairs is not None:  # a sequence is no more frequent than its parts
-                    ok = _marked(pairs.value, _name(*words[:2])) & _marked(pairs.value, _name(*words[1:]))
+                    ok = marked(pairs.value, _name(*words[:2]))
+                    ok[ok] = marked(pairs.value, _name(*(w[ok] for w in words[1:])))
                     words = [w[ok] for w in words]
                 held.append(words)
                 size += len(words[0])
-                if size > 2_000_000:
+                if size > 1_500_000:
                     yield _totals(names, held)
                     held, size = [], 0
         if held:
             yield _totals(names, held)
 
-    found = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", c long")
+    found = codes.select("ids").mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", c long")
     return found.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
 
 
@@ -140,36 +209,6 @@ def _totals(names: list[str], held: list[list[np.ndarray]]) -> pa.RecordBatch:
 # -- what is broadcast ------------------------------------------------------------------------------------
 
 
-def _places(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(SEGMENT - 1)
-    return (name & low).astype(np.int64), (name >> np.uint64(20) & low).astype(np.int64)
-
-
-def _marked(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Whether the bit map holds a name; some that it doesn't hold pass."""
-    base, out = (name >> np.uint64(56)).astype(np.int64) * SEGMENT, np.ones(len(name), bool)
-    for at in _places(name):
-        at = base + at
-        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def _bit_map(names: DataFrame):
-    """Broadcast bit map of a table's names; its parts are made on the executors."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(SEGMENT, np.uint8)
-        for at in _places(rows.column("name").to_numpy().view(np.uint64)):
-            bits[at] = 1
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    parts = names.select(F.shiftrightunsigned("name", 56).cast("int").alias("part"), "name").groupBy("part").applyInArrow(run, "part int, bits binary").collect()
-    out = np.zeros((256, SEGMENT // 8), np.uint8)
-    for r in parts:
-        out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return names.sparkSession.sparkContext.broadcast(out.reshape(-1))
-
-
 def _named(rows: DataFrame, words: list[str], *more: str) -> DataFrame:
     """``more`` columns with the names of the sequences."""
 
@@ -192,18 +231,14 @@ def _frequent(table: DataFrame, most: int) -> Column:
     return level >= least if least is not None else F.lit(False)
 
 
-def _looked_up(rows: DataFrame, keys: list[str], table: DataFrame, hot: Column) -> DataFrame:
-    """Left join with a table on its first columns; its hot rows are broadcast and keep their keys out of the shuffle."""
-    own = table.columns[: len(keys)]
-    more = table.columns[len(keys) :]
-    top, rest = (table.where(c).select(*(F.col(x).alias(f"{m}{x}") for x in table.columns), F.lit(True).alias(f"{m}hit")) for m, c in (("__t", hot), ("__r", ~hot)))
-    rows = rows.join(F.broadcast(top), [F.col(k) == F.col(f"__t{o}") for k, o in zip(keys, own, strict=True)], "left")
-    # Rows that are done are dealt out evenly, under a key that nothing has.
-    rows = rows.withColumn("__deal", F.when(F.col("__thit"), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
-    rest = rest.withColumn("__rdeal", F.lit(0).cast("long"))
-    rows = rows.join(rest.hint("shuffle_merge"), [F.col(k) == F.col(f"__r{o}") for k, o in zip(keys, own, strict=True)] + [F.col("__deal") == F.col("__rdeal")], "left")
-    out = rows.withColumns({m: F.coalesce(f"__t{m}", f"__r{m}") for m in more})
-    return out.drop(*(f"{m}{x}" for m in ("__t", "__r") for x in [*table.columns, "hit"]), "__deal", "__rdeal")
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """Left join of a word id with a table (id, ...): the head's part is broadcast, and only rare words are dealt out.
+
+    ``rows`` and ``table`` are stored tables, or unions of them: they are read for each part.
+    """
+    table = table.select(*(F.col(c).alias(key if c == "id" else c) for c in table.columns))
+    inside = F.col(key) > 0
+    return rows.where(inside).join(F.broadcast(table.where(inside)), key, "left").unionByName(rows.where(~inside).join(table.where(~inside).hint("shuffle_merge"), key, "left"))
 
 
 # -- the tree ----------------------------------------------------------------------------------------------
@@ -253,147 +288,121 @@ def _kept(listed: DataFrame, context: list[str]) -> DataFrame:
     return sums.where(F.col("gain") + (F.col("n") - F.col("c")) * F.col("rest") >= GAIN).select(*context, "rest")
 
 
-def learned(docs: DataFrame, head, words: DataFrame, total: int, distinct: int) -> tuple[DataFrame, DataFrame]:
-    """(id, rest) of words and (name, weight, c) of longer sequences, natural logs: the tree of all training rows.
+def learned(codes: DataFrame, head, words: DataFrame, total: int, distinct: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rest) of words and (name, weight, c) of longer sequences, natural logs: the tree of all rows of ``codes``.
 
     ``words`` has (id, c).
     """
     given = F.log((F.col("c") - DISCOUNT) / F.col("n")) - F.col("below")  # a listed word's ratio to the suffix
-    in_head = F.col("id") > 0
-    pairs = stored(counted(docs, head, 2), "pairs")
-    own = _looked_up(pairs, ["u"], words.select("id", F.col("c").alias("n")), in_head)
-    own = _looked_up(own, ["v"], words.select("id", F.log((F.col("c") + 1) / max(1, total + distinct + 1)).alias("below")), in_head)
+    pairs = stored(counted(codes, head, 2), "pairs")
+    own = _looked_up(pairs, "u", words.select("id", F.col("c").alias("n")))
+    own = _looked_up(own, "v", words.select("id", F.log((F.col("c") + 1) / max(1, total + distinct + 1)).alias("below")))
     own = stored(own.select("u", "v", "c", "n", "below"), "pair-rows")
+    dropped(pairs)
     first = stored(_kept(_tested(own), ["u"]).withColumnRenamed("u", "id"), "words-kept")
     step = F.col("c") * (F.log(F.greatest(F.col("c") - 1 - DISCOUNT, F.lit(1e-9)) / F.col("n")) - F.col("below"))
-    own = _looked_up(own, ["u"], first, in_head)
-    own = own.withColumn("ratio", F.when(F.col("rest").isNull(), 0.0).when(step >= STEP, given).otherwise(F.col("rest")))
-    own = stored(own.select("u", "v", "c", (F.col("below") + F.col("ratio")).alias("log_p"), (F.col("ratio") - F.coalesce("rest", F.lit(0.0))).alias("own")), "pair-weights")
-    hot = F.col("c") >= own.where(_frequent(own, HOT // 8)).agg(F.coalesce(F.min("c"), F.lit(1 << 62))).first()[0]
-    bits = _bit_map(_named(own, ["u", "v"]))
-    longer = stored(counted(docs, head, 3, bits), "triples")
-    told = own.withColumns({"n": F.col("c"), "below": F.col("log_p")})
-    longer = _looked_up(longer.withColumnRenamed("c", "k"), ["u", "v"], told.select("u", "v", "c", "n"), hot).drop("c")
-    longer = _looked_up(longer, ["v", "w"], told.select("u", "v", "c", "below"), hot).drop("c").withColumnRenamed("k", "c")
-    listed = stored(_tested(longer), "triples-listed")
-    second = stored(_kept(listed, ["u", "v"]).join(own.select("u", "v", "c"), ["u", "v"]).select("u", "v", "c", "rest"), "pairs-kept")
-    third = _looked_up(listed.withColumnRenamed("c", "k"), ["u", "v"], second, hot).drop("c").withColumnRenamed("k", "c").where(F.col("rest").isNotNull())
-    two = own.join(second.drop("c"), ["u", "v"], "left").withColumn("weight", F.col("own") + F.coalesce("rest", F.lit(0.0)))
+    known = _looked_up(own, "u", first)
+    known = known.withColumn("ratio", F.when(F.col("rest").isNull(), 0.0).when(step >= STEP, given).otherwise(F.col("rest")))
+    pairs = stored(known.select("u", "v", "c", (F.col("below") + F.col("ratio")).alias("log_p"), (F.col("ratio") - F.coalesce("rest", F.lit(0.0))).alias("own")), "pair-weights")
+    dropped(own)
+    bits = bit_map(_named(pairs, ["u", "v"]))
+    longer = stored(counted(codes, head, 3, bits), "triples")
+    told = longer.join(pairs.select("u", "v", F.col("c").alias("n")), ["u", "v"]).join(pairs.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("log_p").alias("below")), ["v", "w"])
+    listed = stored(_tested(told), "triples-listed")
+    dropped(longer)
+    second = stored(_kept(listed, ["u", "v"]), "pairs-kept")
+    third = listed.join(second, ["u", "v"])
+    two = pairs.join(second, ["u", "v"], "left").withColumn("weight", F.col("own") + F.coalesce("rest", F.lit(0.0)))
     three = third.withColumn("weight", given - F.col("rest"))
-    named = _named(two.where("weight <> 0"), ["u", "v"], "weight", "c").union(_named(three, ["u", "v", "w"], "weight", "c"))
-    return first, stored(named, "tree")
+    tree = stored(_named(two.where("weight <> 0"), ["u", "v"], "weight", "c").union(_named(three, ["u", "v", "w"], "weight", "c")), "tree")
+    dropped(pairs, listed, second)
+    return first, tree
 
 
 # -- scoring -----------------------------------------------------------------------------------------------
 
+TEXT, WORD, SEQUENCE = 0, 1, 2
+
 
 def scored(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, rk, n_tokens, n_known, train_tokens, base_score, score of every row; ``train`` picks what is learned from."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    words = stored(word_counts(docs.where("train")), "words")
+    codes = stored(coded(docs), "codes")
+    words = stored(word_counts(codes.where("train")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r.word), r.c) for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    ranks = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(head, 1)})
+    # By a least count, so that no task has to order all words.
+    top = words.where(_frequent(words, HEAD)).toArrow()
+    head = spark.sparkContext.broadcast(Head(top.column("id").to_numpy(), top.column("c").to_numpy()))
+    counts = head.value.counts
 
-    def name_words(batches):
+    def ranked(batches):
         for batch in batches:
-            ids = _Ids(ranks.value)
-            word, c = (batch.column(batch.schema.get_field_index(x)) for x in ("word", "c"))
-            yield pa.RecordBatch.from_pydict({"word": word, "id": pa.array([ids[w] for w in word.to_pylist()], pa.int64()), "c": c})
-
-    words = stored(words.select("word", "c").mapInArrow(name_words, "word binary, id long, c long"), "word-ids")
-    first, tree = learned(docs.where("train"), ranks, words.select("id", "c"), total, distinct)
-    words = words.where("id < 0").join(first.where("id < 0"), "id", "left").select("word", "c", "rest")
-    rests = np.zeros(len(head) + 1)
-    for r in first.where("id > 0").collect():
-        rests[r.id] = r.rest / np.log(10)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(head.value.ranked(batch.column(0).to_numpy())), "c": batch.column(1)})
+
+    ids = stored(words.select("id", "c").mapInArrow(ranked, "id long, c long"), "word-ids")
+    dropped(words)
+    first, tree = learned(codes.where("train"), head, ids, total, distinct)
+    rests = np.zeros(len(counts))
+    kept = first.where("id > 0").toArrow()
+    rests[kept.column("id").to_numpy()] = kept.column("rest").to_numpy() / np.log(10)
     hot = _frequent(tree, HOT)
     top = tree.where(hot).select("name", "weight").toArrow()
     names = top.column("name").to_numpy().view(np.uint64)
     order = np.argsort(names)
-    sent = spark.sparkContext.broadcast((rests, names[order], top.column("weight").to_numpy()[order] / np.log(10), np.log10(np.array([0.0] + [c for _, c in head]) + 1)))
-    bits = _bit_map(tree.where(~hot))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sent = spark.sparkContext.broadcast((rests, Table(names[order]), top.column("weight").to_numpy()[order] / np.log(10), np.log10(counts + 1.0)))
+    cold = tree.where(~hot)
+    bits = bit_map(cold)
 
     def run(batches):
+        """A row for each text, and one for each of its rare words and sequences that may be in the rest of the tree."""
         rests, names, weights, logs = sent.value
-        known = _Ids(ranks.value)
-        serial = 0
         for batch in batches:
-            for part in slices(batch):
-                lists = [t.lower().split() + [END_WORD] for t in texts(part)]
-                ids = _coded(lists, known)
+            for part in slices(batch, "ids", 4 << 20):
+                ids, sizes = _joined(part, head.value)
+                if not len(sizes):
+                    continue
+                ends = np.cumsum(sizes + 2)
+                begins = ends - sizes
+                owner = np.repeat(np.arange(len(sizes)), sizes + 2)
                 rank = np.maximum(ids, 0)  # 0: what is not in the head
                 own = rests[rank]
+                seen = [(np.full(len(at := np.flatnonzero(ids < 0)), WORD), owner[at], ids[at])]
                 for n in (2, 3):
                     last, seq = _sequences(ids, n)
-                    at, ok = _found(names, _name(*seq))
+                    name = _name(*seq)
+                    at, ok = names.find(name)
                     own[last[ok]] += weights[at[ok]]
-                adds, base = np.cumsum(own), np.cumsum(logs[rank])
-                rows, word, many, heads, found, score, tokens = [], [], [], [], [], [], []
-                end = -1
-                for i, ws in enumerate(lists):
-                    begin, end = end + 2, end + 2 + len(ws)
-                    rest: dict[bytes, int] = {}
-                    for j in np.flatnonzero(ids[begin + 1 : end + 1] < 0).tolist():
-                        rest[ws[j]] = rest.get(ws[j], 0) + 1
-                    # A row of its own for each text; its key is no word, as it holds white space.
-                    serial += 1
-                    rows += [i] * (1 + len(rest))
-                    word += [b"\n%d %d" % (serial, i), *rest]
-                    many += [0, *rest.values()]
-                    zeros = [0] * len(rest)
-                    heads += [base[end] - base[begin], *zeros]
-                    found += [len(ws) - sum(rest.values()), *zeros]
-                    score += [adds[end] - adds[begin], *zeros]
-                    tokens += [len(ws), *zeros]
-                at = pa.array(rows, pa.int64())
-                same = {c: part.column(part.schema.get_field_index(c)).take(at) for c in ("doc_id", "rk", "train")}
-                yield pa.RecordBatch.from_pydict(same | {
-                    "word": pa.array(word, pa.binary()), "n": pa.array(many, pa.int64()), "heads": pa.array(heads, pa.float64()), "found": pa.array(found, pa.int64()),
-                    "score": pa.array(score, pa.float64()), "tokens": pa.array(tokens, pa.int64()),
+                    ok = ~ok
+                    ok[ok] = marked(bits.value, name[ok])
+                    seen.append((np.full(int(ok.sum()), SEQUENCE), owner[last[ok]], name[ok].view(np.int64)))
+                adds, base, inside = (np.concatenate([[0], np.cumsum(x)]) for x in (own, logs[rank], ids > 0))
+                of = lambda x: x[ends] - x[begins]
+                kind, row, key = (np.concatenate(x) for x in zip(*seen, strict=True))
+                rows = len(sizes)
+                text = pa.StructArray.from_arrays([pa.array(sizes), pa.array(of(inside).astype(np.int64)), pa.array(of(base)), pa.array(of(adds))], ["n_tokens", "n_head", "base", "score"])
+                rk = part.column(part.schema.get_field_index("rk"))
+                yield pa.RecordBatch.from_pydict({
+                    "rk": rk.take(pa.array(np.concatenate([np.arange(rows), row]))),
+                    "kind": pa.array(np.concatenate([np.full(rows, TEXT), kind]).astype(np.int8)),
+                    "key": pa.array(np.concatenate([rk.to_numpy(), key])),
+                    "text": text.take(pa.array(np.arange(rows + len(kind)), mask=np.arange(rows + len(kind)) >= rows)),
                 })
 
-    def cold(batches):
-        """Sequences that may be among the other rows of the tree, once for each time that they occur."""
-        names, known = sent.value[1], _Ids(ranks.value)
-        for batch in batches:
-            for part in slices(batch):
-                lists = [t.lower().split() + [END_WORD] for t in texts(part)]
-                ids = _coded(lists, known)
-                row = np.repeat(part.column(part.schema.get_field_index("rk")).to_numpy(), [len(ws) + 2 for ws in lists])
-                for n in (2, 3):
-                    last, seq = _sequences(ids, n)
-                    name = _name(*seq)
-                    ok = _marked(bits.value, name)
-                    ok[ok] = ~_found(names, name[ok])[1]
-                    yield pa.RecordBatch.from_pydict({"name": pa.array(name[ok].view(np.int64)), "rk": pa.array(row[last[ok]])})
-
-    more = docs.select("rk", "text").mapInArrow(cold, "name long, rk long").join(tree.where(~hot).select("name", "weight").hint("shuffle_merge"), "name")
-    more = more.groupBy("rk").agg((F.sum("weight") / np.log(10)).alias("more"))
-    parts = docs.select("doc_id", "rk", "train", "text").mapInArrow(run, f"doc_id {id_type}, rk long, train boolean, word binary, n long, heads double, found long, score double, tokens long")
-    parts = parts.join(words, "word", "left")
-    # Rows that repeat an id and a text have equal parts: a mean over the copies is each copy's value.
-    copies = F.sum((F.col("tokens") > 0).cast("long"))
-    mean = lambda c: F.sum(c) / copies
-    known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    tail = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    out = parts.groupBy("doc_id", "rk", "train").agg(
-        copies.alias("copies"), F.round(mean(F.col("tokens"))).cast("long").alias("n_tokens"), F.round(mean(F.col("found") + known)).cast("long").alias("n_known"), mean(F.col("heads") + tail).alias("base"), mean(F.col("score") + F.col("n") * F.coalesce("rest", F.lit(0.0)) / np.log(10)).alias("score")
-    )
-    out = out.join(more, "rk", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)) / F.col("copies"))
+    parts = codes.mapInArrow(run, "rk long, kind byte, key long, text struct<n_tokens:long,n_head:long,base:double,score:double>")
+    rare = ids.where("id < 0").join(first.where("id < 0"), "id", "left")
+    held = rare.select(F.lit(WORD).cast("byte").alias("kind"), F.col("id").alias("key"), F.log10(F.col("c") + 1).alias("base"), F.coalesce(F.col("rest") / np.log(10), F.lit(0.0)).alias("score"))
+    held = held.union(cold.select(F.lit(SEQUENCE).cast("byte"), "name", F.lit(0.0), F.col("weight") / np.log(10)))
+    found = parts.join(held.hint("shuffle_merge"), ["kind", "key"], "left").where((F.col("kind") == TEXT) | F.col("base").isNotNull())
+    # Rows that repeat an id and a text add alike: a mean over the copies is each copy's value.
+    copies = F.sum((F.col("kind") == TEXT).cast("long"))
+    sums = found.groupBy("rk").agg(
+        F.max("text.n_tokens").alias("n_tokens"), F.max("text.n_head").alias("n_head"), F.round(F.sum((F.col("kind") == WORD).cast("long")) / copies).cast("long").alias("known"),
+        (F.max("text.base") + F.coalesce(F.sum("base"), F.lit(0.0)) / copies).alias("base"), (F.max("text.score") + F.coalesce(F.sum("score"), F.lit(0.0)) / copies).alias("score"),
+    )
+    out = codes.select("doc_id", "rk", "train").join(sums, "rk")
     out = out.withColumn("base_score", F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1))))
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "rk", "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("score")).alias("score"))
-
-
-def _found(names: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in sorted names, and which were found."""
-    if not len(names):
-        return np.zeros(len(name), np.int64), np.zeros(len(name), bool)
-    at = np.minimum(np.searchsorted(names, name), len(names) - 1)
-    return at, names[at] == name
+    return out.select("doc_id", "rk", "train", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("score")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
