@@ -1,28 +1,28 @@
 r"""BPE encoding and decoding; long unsplit text is encoded as a tree of halves.
 
-A text is cut at ASCII white space, which the tokenizer drops, and each distinct word is encoded once and kept
-in a bounded cache.  Pieces of a word of up to ``leaf`` symbols go to the library's merge loop as they are.
-A longer piece is halved until its parts fit: all leaves are encoded in one batch, then neighbours are joined
-level by level.  Around a join the last ``k`` tokens on the left and the first ``k`` on the right are encoded
-again as one string, with ``k`` growing until the first and the last token of the result are the ones that
-stood there before (or a side is used up).  A sequence is what BPE gives exactly if each pair of neighbours
-is, so nothing further away can change.
+A text is cut at ASCII white space, which the tokenizer drops and nothing reaches across, and each distinct word
+is encoded once, by the library's own normalizer, pre-tokenizer and merges, and kept in a cache of bounded bytes.
+A word over ``leaf`` characters is halved until its parts fit.  The leaves of all long words of a slice are encoded
+in one parallel batch, each as if it were a text; then neighbours are joined level by level.  Around a join the
+last ``k`` tokens on the left and the first ``k`` on the right are encoded again as one string, with ``k`` growing
+until the outer two tokens on each side are, in id and place, the ones that stood there before, or a side is used
+up.  Leaves and windows begin at letters and signs that no normalization joins to what stands before them (``FREE``).  BPE is exact if each pair of neighbours is, and a token tells whether a piece of the pre-tokenizer ends with
+it, so nothing further away can change.
 
 Defined results for odd input: a null or empty text, and one of white space only, has no tokens (SHA-256 of
 nothing); bytes that are not UTF-8 count as U+FFFD; repeated rows are encoded one by one and alike; columns
 besides those named are not read.  One row in, one row out: no shuffle; a task holds one slice of texts of
-about 1 MB, or one text, and its cache of at most ``cache`` words.
+about 1 MB, or one text, and caches of at most ``cache`` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,114 +30,117 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, texts
 
 TOKENIZER = "word_bpe_49k.json"
-LEAF = 64
-CACHE = 200_000
-SPECIALS = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-#: White space as the tokenizer's pattern knows it. Fixed values.
-BLANK = "\t-\r\x20\x85\xa0  -     　"
+LEAF = 32
+CACHE = 48 << 20
+#: Characters that compose with nothing before them and are never put in another order. Fixed values.
+FREE = re.compile("[!-~à-ÿΑ-ωА-яא-תء-يぁ-ゖァ-ヺ一-鿿가-힣]")
+COST = 200  # bytes that an entry of a cache has besides its contents
 
 
-def _byte_table() -> dict[int, str]:
-    """Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+class Stretch(NamedTuple):
+    """Tokens of text[begin:end], and the characters where each begins and ends."""
+
+    ids: list[int]
+    at: list[tuple[int, int]]
+    begin: int
+    end: int
 
 
 class Bpe:
     """One tokenizer file: ``encode`` and ``decode`` of whole texts."""
 
     def __init__(self, path: str, leaf: int = LEAF, cache: int = CACHE):
-        import regex
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.name = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
-        self.whole = Tokenizer.from_str(json.dumps(bare))  # the string ends a word
-        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": bare["model"] | {"end_of_word_suffix": None}}))
-        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
-        self.table = _byte_table()
-        self.leaf, self.most = leaf, cache
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.name = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        special = {str(t.content): i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special, self.literal = special, re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else re.compile("(?!)")
+        self.leaf, self.most = leaf, cache // 2
         self.words: dict[bytes, tuple[bytes, bytes]] = {}  # ids and decoded text, each token after a space
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str | int, tuple[bytes, bytes]] = {}
+        self.held = 0
+        self.joins = 0
 
     # -- words ---------------------------------------------------------------------------------------------
 
     def learn(self, words: set[bytes]) -> None:
-        """Make the caches know these words. What a full cache held is kept once more, and moves back when used."""
+        """Make the cache know these words. What a full one held is kept once more, and moves back when used."""
         new = words - self.words.keys()
-        if len(self.words) + len(new) > self.most:
-            self.old, self.words = self.words, {}
+        if self.held > self.most:
+            self.old, self.words, self.held = self.words, {}, 0
             new = words
-        old, cut = self.old, {}
-        for w in new:
-            if w in old:
-                self.words[w] = old[w]
-            else:
-                cut[w] = list(self._pieces(w))
-        self._learn_pieces({x for xs in cut.values() for x in xs})
-        for w, xs in cut.items():
-            got = [self.pieces[x] for x in xs]
-            self.words[w] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-
-    def _learn_pieces(self, needed: set[str | int]) -> None:
-        new = needed - self.pieces.keys()
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces = {x: self.pieces[x] for x in needed - new}
-        short = [x for x in new if not isinstance(x, int) and len(x) <= self.leaf]
-        ids = dict(zip(short, (e.ids for e in self.whole.encode_batch_fast(short, add_special_tokens=False)), strict=True))
-        for x in new:
-            got = ids.get(x) or ([x] if isinstance(x, int) else self.tree(x))
-            self.pieces[x] = (pack(f"<{len(got)}I", *got), "".join([" " + self.name[i] for i in got]).encode())
-
-    def _pieces(self, word: bytes) -> Iterator[str | int]:
-        """Ids of special tokens; other pieces in the byte-level alphabet."""
-        text = word.decode("utf-8", "replace")
-        for part in SPECIALS.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                yield self.special[part]
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            if part.isalpha():
-                found = (part,)
-            elif part[:-1].isalpha() and part[-1] in ".,;:!?":
-                found = (part[:-1], part[-1])
-            else:
-                found = self.pattern.findall(part)
-            for x in found:
-                yield x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.table)
+        old = self.old
+        known = [w for w in new if w in old]
+        for w in known:
+            self._keep(w, old[w])
+        new.difference_update(known)
+        short = [w for w in new if len(w) <= self.leaf]
+        for w, e in zip(short, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in short], add_special_tokens=False), strict=True):
+            self._keep(w, self._entry(e.ids))
+        long = [w for w in new if len(w) > self.leaf]
+        for w, ids in zip(long, self.trees([w.decode("utf-8", "replace") for w in long]), strict=True):
+            self._keep(w, self._entry(ids))
+
+    def _keep(self, word: bytes, entry: tuple[bytes, bytes]) -> None:
+        self.words[word] = entry
+        self.held += len(word) + len(entry[0]) + len(entry[1]) + COST
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return pack(f"<{len(ids)}I", *ids), "".join([" " + self.name[i] for i in ids]).encode()
 
     # -- trees ---------------------------------------------------------------------------------------------
 
-    def _leaf(self, text: str, last: bool) -> list[int]:
-        return (self.whole if last else self.inner).encode(text, add_special_tokens=False).ids
-
-    def tree(self, text: str) -> list[int]:
-        """Ids of one piece that ends a word, from leaves of at most ``leaf`` symbols."""
-        cuts = list(range(0, len(text), self.leaf))
-        leaves = [text[i : i + self.leaf] for i in cuts]
-        level = [e.ids for e in self.inner.encode_batch_fast(leaves[:-1], add_special_tokens=False)]
-        level.append(self._leaf(leaves[-1], True))
-        while len(level) > 1:
-            pairs = [self.join(level[i], level[i + 1], i + 2 >= len(level)) for i in range(0, len(level) - 1, 2)]
-            level = pairs + level[len(pairs) * 2 :]
-        return level[0]
-
-    def join(self, left: list[int], right: list[int], last: bool) -> list[int]:
-        """Tokens of two neighbours as one string; ``last``: the right one ends a word."""
-        k = 2
+    def _tokens(self, parts: list[str], begins: list[int]) -> Iterator[Stretch]:
+        for e, part, at in zip(self.library.encode_batch(parts, add_special_tokens=False), parts, begins, strict=True):
+            yield Stretch(e.ids, [(at + x, at + y) for x, y in e.offsets], at, at + len(part))
+
+    def _cuts(self, text: str) -> Iterator[int]:
+        at = 0
+        while True:
+            yield at
+            m = FREE.search(text, at + self.leaf)
+            if not m:
+                return
+            at = m.start()
+
+    def trees(self, long: list[str]) -> list[list[int]]:
+        """Ids of unsplit texts, each from leaves of at most ``leaf`` characters; special tokens stand for themselves."""
+        between = [self.literal.split(t) for t in long]
+        whole = iter(self._grown([x for xs in between for x in xs if x and x not in self.special]))
+        return [[i for x in xs if x for i in ([self.special[x]] if x in self.special else next(whole))] for xs in between]
+
+    def _grown(self, long: list[str]) -> list[list[int]]:
+        begins = [list(self._cuts(t)) for t in long]
+        parts = [t[i:j] for t, at in zip(long, begins, strict=True) for i, j in zip(at, [*at[1:], len(t)], strict=True)]
+        leaves = self._tokens(parts, [i for at in begins for i in at])
+        out = []
+        for t, at in zip(long, begins, strict=True):
+            level = [next(leaves) for _ in at]
+            while len(level) > 1:
+                pairs = [self.join(t, level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
+                level = pairs + level[len(pairs) * 2 :]
+            out.append(level[0].ids)
+        return out
+
+    def join(self, text: str, left: Stretch, right: Stretch) -> Stretch:
+        """Tokens of two neighbouring stretches of ``text`` as one."""
+        self.joins += 1
+        n, m, k = len(left.ids), len(right.ids), 4
         while True:
-            a, b = left[max(0, len(left) - k) :], right[:k]
-            ends = last and len(b) == len(right)
-            text = "".join(self.name[i] for i in a + b)
-            got = self._leaf(text.removesuffix("</w>") if ends else text, ends)
-            if (len(a) == len(left) or got[0] == a[0]) and (len(b) == len(right) or got[-1] == b[-1]):
-                return left[: len(left) - len(a)] + got + right[len(b) :]
+            a, b = max(0, n - k), min(k, m)
+            while a and not FREE.match(text, left.at[a][0]):
+                a -= 1
+            while b < m and not FREE.match(text, right.at[b][0]):
+                b += 1
+            begin, end = (left.at[a][0] if a else left.begin), (right.at[b][0] if b < m else right.end)
+            got = next(self._tokens([text[begin:end]], [begin]))
+            same = lambda i, x, j: got.ids[i : i + 2] == x.ids[j : j + 2] and got.at[i : i + 2] == x.at[j : j + 2]
+            outer = len(got.ids) - 2
+            if (not a or outer >= 0 and same(0, left, a)) and (b == m or outer >= 0 and same(outer, right, b - 2)):
+                return Stretch(left.ids[:a] + got.ids + right.ids[b:], left.at[:a] + got.at + right.at[b:], left.begin, right.end)
             k *= 2
 
     # -- texts ---------------------------------------------------------------------------------------------
