@@ -3,8 +3,9 @@ r"""Toxicity: gradient-boosted trees over dense features of a whole text, with i
 Features: densities of a seed lexicon and of one learned from the training labels, how near such words stand to
 second-person words, capitals, punctuation and obfuscated spellings.  Labels, language, source and id are not
 among them.  The trees are fitted on the driver on a sample of labelled training rows of at most ``SAMPLE`` (those with
-the least hash of their id), so what reaches the driver is at most SAMPLE rows of some twenty numbers; one part
-in four of the sample fits the calibration only.  Scoring is one pass over all rows without a shuffle.
+the least hash of their id, one row for each id), so what reaches the driver is at most SAMPLE rows of some twenty
+numbers.  The sample is dealt into four folds; a fold's features use a lexicon learned from the other three, so no
+row is fitted or calibrated on words that its own label picked, and one fold fits the calibration only.  Scoring is one pass over all rows without a shuffle.
 
 Defined results for odd input: a null or empty text has all-zero features and gets the score those get; rows
 with a null label, or without one, are scored but not learned from; an id labelled more than once counts as
@@ -16,16 +17,20 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts
+from .common import dropped, slices, stored, texts
 
 SAMPLE = 20_000
 LEXICON_SIZE = 300
+FOLDS = 4  # the last one fits the calibration
+FEW = 80  # rows from which on there are folds
 #: Seed lexicon. Fixed values.
 SEED = frozenset("""
 idiot idiots idiotic stupid moron morons moronic loser losers scum trash garbage pathetic worthless clown clowns dumb
@@ -142,13 +147,13 @@ class Model:
 DEPTH, TREES, RATE, BINS, LEAF = 3, 80, 0.1, 32, 10
 
 
-def fit(x: np.ndarray, y: np.ndarray, learned: dict[str, float]) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, learned: dict[str, float], fold: np.ndarray) -> Model:
+    """``fold``: which rows fit the calibration only."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model([], 0.0, (np.array([0.0, 1.0]), np.array([share, share])), learned)
-    fold = np.arange(len(y)) % 4 == 3 if len(y) >= 80 else np.zeros(len(y), bool)
-    if y[~fold].min() == y[~fold].max():
-        fold[:] = False
+    if y[~fold].size == 0 or y[~fold].min() == y[~fold].max():
+        fold = np.zeros(len(y), bool)
     model = boosted(x[~fold], y[~fold], learned)
     if fold.any():
         model.steps = isotonic(1 / (1 + np.exp(-model.raw(x[fold]))), y[fold])
@@ -225,52 +230,77 @@ def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text, toxic of at most ``most`` labelled training ids."""
+    """doc_id, text, toxic, fold of at most ``most`` labelled training ids, one row for each: the text of least hash."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # Hashes beyond what the sample is expected to need are left out first, so that no task has to order all ids.
+    total, h = ids.count(), F.xxhash64("doc_id")
+    if total > 4 * most:
+        ids = ids.where(h < int(2**64 * 2 * most / total) - 2**63)
+    ids = ids.orderBy(h, "doc_id").limit(most)
     # ``most`` rows of two numbers: the bound that makes the broadcast safe.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("doc_id", "one.text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
-    """Words that toxic texts of the sample hold far more often than others: log odds by word."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, clean, toxic): in how many clean and toxic texts of each fold a word is."""
 
     def run(batches):
         for batch in batches:
-            held: dict[str, list[int]] = {}
-            for t, y in zip(texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist(), strict=True):
+            held: dict[bytes, list[int]] = {}
+            labels = zip(batch.column(batch.schema.get_field_index("toxic")).to_pylist(), batch.column(batch.schema.get_field_index("fold")).to_pylist(), strict=True)
+            for t, (y, fold) in zip(texts(batch), labels, strict=True):
                 for w in {w.strip(_EDGE).lower() for w in t.split()}:
-                    held.setdefault(w, [0, 0])[y > 0] += 1
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), "clean": pa.array([a for a, _ in held.values()], pa.int64()), "toxic": pa.array([b for _, b in held.values()], pa.int64())})
+                    held.setdefault(w, [0] * (2 * FOLDS))[FOLDS * (y > 0) + fold] += 1
+            yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in held], pa.string())} | {f"c{k}": pa.array([c[k] for c in held.values()], pa.int64()) for k in range(2 * FOLDS)})
 
-    n = {int(r[0] > 0): r[1] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2:
+    columns = [f"c{k}" for k in range(2 * FOLDS)]
+    found = rows.select("text", "toxic", "fold").mapInArrow(run, "word string, " + ", ".join(f"{c} long" for c in columns))
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], without: int | None = None, size: int = LEXICON_SIZE) -> dict[str, float]:
+    """Words that toxic texts hold far more often than clean ones: log odds by word, from all folds but ``without``.
+
+    ``sizes``: texts by (0 clean or 1 toxic, fold).
+    """
+    folds = [k for k in range(FOLDS) if k != without]
+    n = [sum(sizes.get((y, k), 0) for k in folds) for y in (0, 1)]
+    if not all(n):
         return {}
-    words = rows.select("text", "toxic").mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    a, b = (reduce(add, [F.col(f"c{FOLDS * y + k}") for k in folds]) for y in (0, 1))
+    words = counts.select("word", a.alias("a"), b.alias("b"))
     odds = F.log((F.col("b") + 0.5) / (n[1] + 1)) - F.log((F.col("a") + 0.5) / (n[0] + 1))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = words.where("length(word) > 1 and b >= 4").select("word", odds.alias("odds"), z.alias("z")).where("odds > 1 and z > 3.5").orderBy(F.desc("z"), "word").limit(size)
     return {r.word: float(r.odds) for r in best.collect()}
 
 
-def _featured(rows: DataFrame, learned: dict[str, float]) -> DataFrame:
+def _featured(rows: DataFrame, learned: list[dict[str, float]]) -> DataFrame:
+    """Features of each row by its fold's lexicon."""
+
     def run(batches):
-        words = Words(learned)
+        words = [Words(x) for x in learned]
         for batch in batches:
             for part in slices(batch):
-                x = [features(t, words) for t in texts(part)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "toxic": part.column(2).cast(pa.int32()), "x": pa.array(x, pa.list_(pa.float64()))})
+                folds = part.column(part.schema.get_field_index("fold")).to_pylist()
+                x = [features(t, words[k]) for t, k in zip(texts(part), folds, strict=True)]
+                yield pa.RecordBatch.from_pydict({c: part.column(part.schema.get_field_index(c)) for c in ("at", "toxic", "fold")} | {"x": pa.array(x, pa.list_(pa.float64()))})
 
-    return rows.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, x array<double>")
+    return rows.select(F.xxhash64("doc_id").alias("at"), "text", "toxic", "fold").mapInArrow(run, "at long, toxic int, fold int, x array<double>")
 
 
 def trained(docs: DataFrame, labels: DataFrame, train: Column, most: int = SAMPLE) -> Model:
     rows = stored(sample(docs, labels, train, most), "sample")
-    learned = lexicon(rows)
-    got = sorted((r.doc_id, r.toxic, r.x) for r in _featured(rows, learned).limit(most).collect())
-    # By hash, so that the calibration fold is no stretch of ids.
-    got.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) % (1 << 64) if isinstance(r[0], int) else hash(str(r[0])))
-    return fit(np.array([r[2] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float), learned)
+    counts = stored(word_counts(rows), "sample-words")
+    sizes = {(int(r[0] > 0), r[1]): r[2] for r in rows.groupBy("toxic", "fold").count().collect()}
+    few = sum(sizes.values()) < FEW
+    learned = lexicon(counts, sizes)
+    each = [learned] * FOLDS if few else [lexicon(counts, sizes, k) for k in range(FOLDS)]
+    got = sorted((r.at, r.toxic, r.fold == FOLDS - 1 and not few, r.x) for r in _featured(rows, each).collect())
+    dropped(rows, counts)
+    return fit(np.array([r[3] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float), learned, np.array([r[2] for r in got], bool))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
