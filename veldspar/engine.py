@@ -104,6 +104,7 @@ class Engine:
         notes = self._relations(child, context, ts, used)
         allowed = {n.lower() for n in [*self.schema.tables, *self.schema.views]}
         ts = self._distinct_recursion(child, ts, allowed)
+        ts = dialect.grouped(ts, lambda rows: guard.repeatable(child, rows, allowed))
         spark_sql = dialect.text(dialect.rewritten(ts))
         tree = guard.admitted(child, spark_sql, allowed)
         return child, spark_sql, guard.fallback(used, self.policy, spark_sql, tree) + notes

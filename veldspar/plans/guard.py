@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import SparkSession
 
 from ..errors import EnumError, FallbackError, GuardrailError, ParseError, RelationError, StatementError
@@ -66,6 +66,21 @@ def admitted(spark: SparkSession, sql: str, allowed: set[str]) -> str:
     return tree
 
 
+#: Operators that give the same rows each time, over sources that hold still.
+_REPEATABLE = {"Project", "Filter", "Join", "Union", "SubqueryAlias", "View", "WithCTE", "CTERelationDef", "CTERelationRef", "Relation", "LocalRelation", "LogicalRDD"}
+
+
+def repeatable(spark: SparkSession, sql: str, allowed: set[str]) -> bool:
+    """Whether a SELECT can be read twice in one query: no limits, ties, sums of floats, stores or random values."""
+    admitted(spark, sql, allowed)
+    try:
+        plan = spark.sql(sql)._jdf.queryExecution().analyzed()
+    except AnalysisException:
+        return False
+    tree = plan.treeString()
+    return plan.deterministic() and "JDBCRelation" not in tree and set(re.findall(r"^[\s:+-]*(\S+?)\b", tree, re.M)) <= _REPEATABLE
+
+
 def check_enums(ts: list[Token], schema: Schema) -> None:
     """Literals held against enum columns by = or IN have to be values of the enum."""
     by_column: dict[str, set[str]] = {}
